@@ -26,18 +26,21 @@ _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 class Ftrl:
     """McMahan's FTRL-proximal, for rows of distinct feature numbers with value 1."""
 
-    alpha: float = 0.1
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 4.0
     l2: float = 1.0
-    epochs: int = 2
+    #: Passes over the rows: as many as make this many updates, within the bounds.
+    updates: int = 30_000
+    passes: tuple[int, int] = (3, 40)
     bits: int = BITS
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """(feature numbers, weights, bias), of the weights that aren't zero."""
         z, n = np.zeros(1 << self.bits), np.zeros(1 << self.bits)
         bias_z = bias_n = 0.0
-        for _ in range(self.epochs):
+        low, high = self.passes
+        for _ in range(min(high, max(low, -(-self.updates // max(1, len(rows)))))):
             for row, y in zip(rows, labels.tolist(), strict=True):
                 zr, nr = z[row], n[row]
                 w = self._weights(zr, nr)
