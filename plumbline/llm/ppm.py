@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import mix, row_groups, scratch, utf8_view
 
-ORDER = 4
+ORDER = 5
 #: Nodes of the trie that workers hold.
-MAX_NODES = 1_500_000
+MAX_NODES = 2_000_000
 #: Bytes that no UTF-8 text has.
 START, END = 0xFE, 0xFF
 _U = np.uint64
@@ -184,7 +184,8 @@ class PpmModel:
             escape_below = np.where(left > 0, log(left_kinds) - below, 0.0)
             direct = log(counts) - log(total + kinds)[of]
         seen = kinds[_find_sorted(contexts, np.zeros(1, np.uint64))[0]] if len(contexts) else 0
-        return cls(order, _Table.of(keys), direct, log(counts), _Table.of(contexts), escape, below, escape_below, -math.log10(max(1.0, 256 - seen)))
+        small = lambda x: x.astype(np.float32)
+        return cls(order, _Table.of(keys), small(direct), small(log(counts)), _Table.of(contexts), small(escape), small(below), small(escape_below), -math.log10(max(1.0, 256 - seen)))
 
     def log10(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each text's log10 probability, its end included."""
