@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter
 
@@ -26,10 +27,20 @@ CAPACITY = 2048
 #: Rows of one length are ranked in this many independent parts, as one length may hold most rows.
 SALTS = 64
 #: Words whose ids a worker remembers; the memory is emptied when full.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 
 _CUT_IN_DOUBT = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
+#: How byte-level BPE splits text before merging (fixed value).
+_SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PROBE = ("a", " The", " naïve", "don't", " 12ab,", "x\n\ny", " \u00a0z", "\t\t", " 日本語", " ---", "'re", " é́", "\U0001f600!")
+
+
+def _byte_names() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class WordCachedTokenizer:
@@ -37,7 +48,8 @@ class WordCachedTokenizer:
 
     A byte-level BPE never joins across a space that a non-space follows, so text is cut before each of
     these, and the ids of a piece don't depend on its neighbours. Texts that hold a special token's
-    string are encoded whole.
+    string are encoded whole. Words new to the cache go through a second encoder of the same vocabulary,
+    which has less overhead for short strings, if it agrees with the first on a probe.
     """
 
     def __init__(self, path: str):
@@ -46,40 +58,45 @@ class WordCachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.encode_word = self._slow_word
+        if (fast := self._second_encoder()) and all(fast(w) == self._slow_word(w) for w in _PROBE):
+            self.encode_word = fast
+
+    def _slow_word(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _second_encoder(self):
+        import tiktoken
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > CACHED_WORDS:
-            self.known.clear()
-        new = list(pieces)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found, strict=True))
+        names = _byte_names()
+        vocabulary = {k: v for k, v in self.tokenizer.get_vocab(with_added_tokens=False).items() if k not in self.special}
+        if not all(c in names for k in vocabulary for c in k):
+            return None
+        ranks = {bytes(names[c] for c in k): v for k, v in vocabulary.items()}
+        encode = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        return lambda word: array("I", encode(word)).tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
+        cut = []
         for text in batch:
             if any(s in text for s in self.special):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
-                continue
-            if _CUT_IN_DOUBT.search(text):
-                pieces = _CUT.split(text)
+                cut.append(text)
+            elif _CUT_IN_DOUBT.search(text):
+                cut.append(_CUT.split(text))
             else:
+                # a text that begins with a space has an empty first piece
                 first, *rest = text.split(" ")
-                pieces = [first, *[f" {w}" for w in rest]]
-            known = self.known
-            try:
-                out.append(b"".join([known[p] for p in pieces]))
-            except KeyError:
-                if new := {p for p in pieces if p not in known}:
-                    before = len(known)
-                    self._learn(new)
-                    if len(known) < before:  # it was emptied
-                        self._learn({p for p in pieces if p not in known})
-                out.append(b"".join([self.known[p] for p in pieces]))
-        return out
+                cut.append([first, *[f" {w}" for w in rest]])
+        known = self.known
+        new = set().union(*[p for p in cut if type(p) is list]) - known.keys()
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = set().union(*[p for p in cut if type(p) is list])
+        encode = self.encode_word
+        for word in new:
+            known[word] = encode(word)
+        return [b"".join([known[w] for w in p]) if type(p) is list else self._slow_word(p) for p in cut]
 
 
 _tokenizers: dict[str, WordCachedTokenizer] = {}
