@@ -43,9 +43,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _positions(docs: DataFrame) -> DataFrame:
-    """A row for each word of each document, with the shingle that begins there."""
+    """A row for each word of each document, with the shingle that begins there; one without a place for no words.
+
+    An outer generator, as Spark else infers a filter that cuts each text into words once more.
+    """
     d = _keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "row", "w")
-    return d.select("doc", "row", "w", F.posexplode("w").alias("pos", "_word")).select("doc", "row", "w", "pos", _pair(F.col("w"), F.col("pos")).alias("t"))
+    return d.select("doc", "row", "w", F.posexplode_outer("w").alias("pos", "_word")).select("doc", "row", "w", "pos", _pair(F.col("w"), F.col("pos")).alias("t"))
 
 
 def _windows(items: DataFrame, size: int, blocks: int | None = None) -> DataFrame:
@@ -83,25 +86,30 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFram
     for block in range(blocks):
         # about BLOCK_WINDOWS rows each
         some = windows.where(F.pmod(F.xxhash64("item", "start"), F.lit(blocks)) == block) if blocks > 1 else windows
-        found = _found(docs, scratch(_anchors(some, docs), "anchors"))
+        found = _found(docs, scratch(_anchors(some, docs), "anchors"), size)
         if not some.where("n = 1").isEmpty():
             found = found.unionByName(_found_words(docs, some.where("n = 1")))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _found(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+def _found(docs: DataFrame, anchors: DataFrame, size: int) -> DataFrame:
     w, pos = F.col("w"), F.col("pos")
+    # only the words about the anchor leave the join: a candidate must not carry its whole document
+    begin = F.greatest(pos - size, F.lit(0))
+    met = _positions(docs).join(F.broadcast(anchors), "t")
+    narrow = F.struct("doc", "row", "item", "pos", "wins", F.size(w).alias("words"), begin.alias("begin"), F.slice(w, begin + 1, F.lit(2 * size)).alias("near"))
+    near = met.select(F.inline(F.array(narrow)))  # what follows can't be pushed below a generator
 
     def fits(x):
         start = pos - x["off"]
-        inside = (start >= 0) & (start + x["n"] <= F.size(w))  # positional and length bounds
-        return inside & (F.slice(w, F.greatest(start, F.lit(0)) + 1, x["n"]) == x["win"])
+        inside = (start >= 0) & (start + x["n"] <= F.col("words"))  # positional and length bounds
+        return inside & (F.slice("near", F.greatest(start - F.col("begin"), F.lit(0)) + 1, x["n"]) == x["win"])
 
-    met = _positions(docs).join(F.broadcast(anchors), "t").withColumn("hits", F.filter("wins", fits)).where(F.size("hits") > 0)
+    hit = near.withColumn("hits", F.filter("wins", fits)).where(F.size("hits") > 0)
     low = pos - F.array_max(F.transform("hits", lambda x: x["off"]))
     high = pos + F.array_max(F.transform("hits", lambda x: x["n"] - x["off"]))
-    return met.select("doc", "row", "item", low.alias("low"), high.alias("high"))
+    return hit.select("doc", "row", "item", low.alias("low"), high.alias("high"))
 
 
 def _found_words(docs: DataFrame, windows: DataFrame) -> DataFrame:
