@@ -26,7 +26,7 @@ from plumbline.llm.common import mix, row_groups, scratch, utf8_view
 
 ORDER = 5
 #: Nodes of the trie that workers hold.
-MAX_NODES = 2_000_000
+MAX_NODES = 1_400_000
 #: Bytes that no UTF-8 text has.
 START, END = 0xFE, 0xFF
 _U = np.uint64
