@@ -61,6 +61,13 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def slices(batches, rows: int = 512):
+    """The batches in short ones, so that little of them is held as Python objects or copied at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null is empty."""
     return pc.fill_null(column, "").to_pylist()

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, row_groups, scratch, utf8_view
+from plumbline.llm.common import mix, row_groups, scratch, slices, utf8_view
 
 ORDER = 5
 #: Nodes of the trie that workers hold.
@@ -73,7 +73,7 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches):
         parts, held = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = utf8_view(batch.column(0))
             for first, last in row_groups(offsets, 1 << 21):
                 low = offsets[first]
@@ -81,9 +81,9 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 keys, counts = np.unique(_grams(symbols, places, order + 1), return_counts=True)
                 parts.append((keys, counts))
                 held += len(keys)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     parts = [_merged(parts)]
-                    if (held := len(parts[0][0])) > 2_000_000:
+                    if (held := len(parts[0][0])) > 1_000_000:
                         yield _gram_batch(*parts[0])
                         parts, held = [], 0
         if parts:
@@ -277,7 +277,7 @@ def score_texts(docs: DataFrame, model: PpmModel) -> DataFrame:
     columns = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             score = shared.value.log10(*utf8_view(batch.column(batch.schema.get_field_index("_text"))))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(score, pa.float64())], names=[*columns, "ppm_log10"])
 

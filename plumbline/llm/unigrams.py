@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch, texts
+from plumbline.llm.common import scratch, slices, texts
 
 #: Most frequent tokens that workers hold; the others' counts come by a join.
 HEAD = 150_000
@@ -28,10 +28,10 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in texts(batch.column(0)):
                 held.update(tokens(text))
-                if len(held) > 600_000:
+                if len(held) > 300_000:
                     yield _batch(held)
                     held = Counter()
         yield _batch(held)
