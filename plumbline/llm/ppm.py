@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import mix, row_groups, scratch, slices, utf8_view
@@ -75,7 +76,7 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
         parts, held = [], 0
         for batch in slices(batches):
             data, offsets = utf8_view(batch.column(0))
-            for first, last in row_groups(offsets, 1 << 21):
+            for first, last in row_groups(offsets, 1 << 20):
                 low = offsets[first]
                 symbols, places, _ = _stream(data[low : offsets[last]], offsets[first : last + 1] - low, order)
                 keys, counts = np.unique(_grams(symbols, places, order + 1), return_counts=True)
@@ -103,40 +104,48 @@ def _find_sorted(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
 class _Table:
-    """A hash table from uint64 to the places of the keys it was made from."""
+    """A hash table from uint64 to the places of the keys it was made from; it travels as those keys alone."""
 
-    keys: np.ndarray
-    place: np.ndarray
-    shift: int
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots: np.ndarray | None = None  # filled at the first look-up
 
-    @classmethod
-    def of(cls, keys: np.ndarray) -> _Table:
-        bits = max(4, int(2 * len(keys)).bit_length())
-        table, place, shift = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 64 - bits
-        slot, left = (mix(keys) >> _U(shift)).astype(np.int64), np.arange(len(keys))
+    def __getstate__(self) -> np.ndarray:
+        return self.keys
+
+    def __setstate__(self, keys: np.ndarray) -> None:
+        self.__init__(keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> _U(64 - self.bits)).astype(np.int64)
+
+    def _fill(self) -> None:
+        place = np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slot(self.keys), np.arange(len(self.keys), dtype=np.int32)
         while len(left):
-            s = slot[left]
-            free = place[s] < 0
-            place[s[free]] = left[free]  # of several, one gets the slot
-            won = place[s] == left
-            table[s[won]] = keys[left[won]]
-            left = left[~won]
-            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
-        return cls(table, place, shift)
+            free = place[slot] < 0
+            place[slot[free]] = left[free]  # of several, one gets the slot
+            lost = place[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+        self.slots = place
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Places, or -1."""
-        slot = (mix(wanted) >> _U(self.shift)).astype(np.int64)
-        out = self.place[slot]
-        open_ = np.flatnonzero((out >= 0) & (self.keys[slot] != wanted))
+        if self.slots is None:
+            self._fill()
+        if not len(self.keys):
+            return np.full(len(wanted), -1, np.int32)
+        slot = self._slot(wanted)
+        out = self.slots[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != wanted))
         slot, wanted = slot[open_], wanted[open_]
         while len(open_):
-            slot = (slot + 1) & (len(self.keys) - 1)
-            p = self.place[slot]
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            p = self.slots[slot]
             out[open_] = p
-            more = (p >= 0) & (self.keys[slot] != wanted)
+            more = (p >= 0) & (self.keys[p] != wanted)
             open_, slot, wanted = open_[more], slot[more], wanted[more]
         return out
 
@@ -185,12 +194,12 @@ class PpmModel:
             direct = log(counts) - log(total + kinds)[of]
         seen = kinds[_find_sorted(contexts, np.zeros(1, np.uint64))[0]] if len(contexts) else 0
         small = lambda x: x.astype(np.float32)
-        return cls(order, _Table.of(keys), small(direct), small(log(counts)), _Table.of(contexts), small(escape), small(below), small(escape_below), -math.log10(max(1.0, 256 - seen)))
+        return cls(order, _Table(keys), small(direct), small(log(counts)), _Table(contexts), small(escape), small(below), small(escape_below), -math.log10(max(1.0, 256 - seen)))
 
     def log10(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each text's log10 probability, its end included."""
         out = np.zeros(len(offsets) - 1)
-        for first, last in row_groups(offsets, 1 << 20):
+        for first, last in row_groups(offsets, 1 << 18):
             low = offsets[first]
             symbols, places, begins = _stream(data[low : offsets[last]], offsets[first : last + 1] - low, self.order)
             out[first:last] = np.add.reduceat(self._positions(_grams(symbols, places, self.order + 1)), begins)
@@ -271,15 +280,21 @@ def adaptive_log10(text: str, order: int = ORDER) -> float:
     return total
 
 
+def text_scorer(spark: SparkSession, model: PpmModel) -> Callable[[pa.Array], np.ndarray]:
+    """What gives a string column's scores in a worker; null is empty."""
+    shared = spark.sparkContext.broadcast(model)
+    return lambda column: shared.value.log10(*utf8_view(column))
+
+
 def score_texts(docs: DataFrame, model: PpmModel) -> DataFrame:
     """docs with ppm_log10, of the whole text; null is empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    score = text_scorer(docs.sparkSession, model)
     columns = docs.columns
 
     def run(batches):
         for batch in slices(batches):
-            score = shared.value.log10(*utf8_view(batch.column(batch.schema.get_field_index("_text"))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(score, pa.float64())], names=[*columns, "ppm_log10"])
+            scores = score(batch.column(batch.schema.get_field_index("_text")))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(scores, pa.float64())], names=[*columns, "ppm_log10"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, f"{kinds}, ppm_log10 double")

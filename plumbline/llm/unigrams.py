@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +45,12 @@ def _batch(held):
     return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
 
 
-def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD) -> DataFrame:
+def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD, also: dict[str, Callable[[pa.Array], np.ndarray]] | None = None) -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens and base_score; a row for each row.
 
     training: one string column. The most frequent tokens (at most `head`) are broadcast; other tokens of
-    a document meet their counts in a join, so that all counts are exact. Null texts are empty.
+    a document meet their counts in a join, so that all counts are exact. Null texts are empty. also: other
+    scores by name, each from a string column, worked out in the same pass over the texts.
     """
     spark = docs.sparkSession
     counts = scratch(count_tokens(training), "tokens")
@@ -65,15 +68,17 @@ def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD) -> Da
         known = dict(zip(rows.column("token").to_pylist(), rows.column("c").to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast({t: math.log10((c + SMOOTH) / below) for t, c in known.items()})
     tail = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-    others = [c for c in docs.columns if c != "text"]
-    names = [*others, "n_tokens", "head_score", "head_known", "rare"]
+    others, also = [c for c in docs.columns if c != "text"], also or {}
+    names = [*others, *also, "n_tokens", "head_score", "head_known", "rare"]
 
     def run(batches):
         frequent = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
+            for k in range(0, batch.num_rows, 512):
                 n_tokens, sums, knowns, rest = [], [], [], []
-                for text in texts(batch.column(len(others)).slice(k, 1024)):
+                column = batch.column(len(others)).slice(k, 512)
+                more = [pa.array(score(column), pa.float64()) for score in also.values()]
+                for text in texts(column):
                     found = Counter(tokens(text))
                     n_tokens.append(sum(found.values()))
                     score, seen, rare = [], 0, []
@@ -86,10 +91,10 @@ def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD) -> Da
                     sums.append(math.fsum(score))
                     knowns.append(seen)
                     rest.append(rare)
-                kept = [batch.column(c).slice(k, 1024) for c in range(len(others))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(n_tokens, pa.int64()), pa.array(sums, pa.float64()), pa.array(knowns, pa.int64()), pa.array(rest, tail)], names=names)
+                kept = [batch.column(c).slice(k, 512) for c in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*kept, *more, pa.array(n_tokens, pa.int64()), pa.array(sums, pa.float64()), pa.array(knowns, pa.int64()), pa.array(rest, tail)], names=names)
 
-    kinds_of = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others) + "n_tokens long, head_score double, head_known long, rare array<struct<token: binary, n: long>>"
+    kinds_of = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others) + "".join(f"`{c}` double, " for c in also) + "n_tokens long, head_score double, head_known long, rare array<struct<token: binary, n: long>>"
     scored = docs.select(*others, F.col("text").cast("string")).mapInArrow(run, kinds_of)
     scored = scratch(scored.withColumn("_id", F.monotonically_increasing_id()), "heads")  # written, so the ids stay
     rare = scored.select("_id", F.explode("rare").alias("r")).select("_id", "r.token", "r.n")
@@ -99,4 +104,4 @@ def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD) -> Da
     joined = scored.drop("rare").join(tails, "_id", "left")
     n_known = F.col("head_known") + F.coalesce("tail_known", F.lit(0))
     base = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
-    return joined.select(*others, "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"))
+    return joined.select(*others, *also, "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"))
