@@ -47,6 +47,22 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a worker gets, about: long texts make short batches.
+BATCH_BYTES = 4 << 20
+
+
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow, its batches bounded in bytes, not only in rows.
+
+    The bound is the session's (spark.sql.execution.arrow.maxBytesPerBatch), and is only ever lowered.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

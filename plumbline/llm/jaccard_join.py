@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NO_ID, mix, row_groups, scratch, text_hash, utf8_view
+from plumbline.llm.common import NO_ID, map_texts, mix, row_groups, scratch, slices, text_hash, utf8_view
 from plumbline.llm.graph import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -64,7 +64,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before[inner] = False
     after[inner - 1] = False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    power, inverse = _powers(max(1 << 20, 1 << int(len(data)).bit_length()))
+    power, inverse = _powers(max(1 << 18, 1 << int(len(data)).bit_length()))
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[data] + np.uint64(1)) * power[: len(data)])])
         h = (total[ends] - total[starts]) * inverse[starts]
@@ -74,7 +74,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
     """Each row's sorted distinct shingle hashes. Rows of fewer words have one shingle; of none, none."""
     out = []
-    for first, last in row_groups(offsets, 1 << 20):
+    for first, last in row_groups(offsets, 1 << 18):
         low, high = offsets[first], offsets[last]
         words, at = word_hashes(data[low:high], offsets[first : last + 1] - low)
         with np.errstate(over="ignore"):
@@ -153,7 +153,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         bands_c = _C[:ROWS]
-        for batch in batches:
+        for batch in slices(batches):
             sids, sizes, sigs, bands = [], [], [], []
             for s in shingle_sets(*utf8_view(batch.column(2))):
                 sizes.append(len(s))
@@ -175,7 +175,7 @@ def features(docs: DataFrame) -> DataFrame:
             )
 
     kinds = "doc_id long, row long, sid binary, n long, sig binary, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text").cast("string")).alias("row"), F.col("text").cast("string")).mapInArrow(run, kinds)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text").cast("string")).alias("row"), F.col("text").cast("string")), run, kinds)
 
 
 def _dealt(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
@@ -368,7 +368,7 @@ def similarity_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     members = members.select(F.col("node").alias("sid"), F.col("root").alias("cluster"), "_size", "copies", "sig", F.coalesce("one.doc_id", F.lit(NO_ID)).alias("_doc"), F.col("one.row").alias("_row"))
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), text_hash(F.col("text").cast("string")).alias("_row"), F.col("text").cast("string").alias("text"))
     with_text = members.join(text, ["_doc", "_row"]).select("sid", "cluster", "_size", "copies", "sig", "text").dropDuplicates(["sid"])
-    shingled = _dealt(with_text.mapInArrow(_shingle_column, "sid binary, cluster binary, _size long, copies long, sig binary, shingles binary"), "cluster", "_size", CLUSTER_BLOCK)
+    shingled = _dealt(map_texts(with_text, _shingle_column, "sid binary, cluster binary, _size long, copies long, sig binary, shingles binary"), "cluster", "_size", CLUSTER_BLOCK)
     shingled = shingled.select("cluster", "_i", "_j", "_own", "sid", "copies", "sig", "shingles")
     verified = scratch(shingled.mapInArrow(_verified(threshold, tolerance), "sid binary, links long, root binary"), "verified")
 
@@ -384,7 +384,7 @@ def similarity_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
 
 
 def _shingle_column(batches):
-    for batch in batches:
+    for batch in slices(batches):
         sets = [s.tobytes() for s in shingle_sets(*utf8_view(batch.column(5)))]
         names = [*batch.schema.names[:5], "shingles"]
         yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(sets, pa.binary())], names=names)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, row_groups, texts, utf8_view
+from plumbline.llm.common import map_texts, mix, row_groups, texts, utf8_view
 
 #: Families of common languages; another code is a family of its own (fixed values).
 FAMILIES = {
@@ -173,4 +173,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, bits: int =
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(language, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], names=[*columns, "lang_pred", "lang_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, f"{kinds}, lang_pred string, lang_score double")
+    return map_texts(docs.withColumn("_text", F.col("text").cast("string")), run, f"{kinds}, lang_pred string, lang_score double")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NO_ID, scratch, text_hash, texts
+from plumbline.llm.common import NO_ID, map_texts, scratch, slices, text_hash, texts
 
 BLANK = " \t\n\x0b\x0c\r"
 #: h1, h2: the key's hash; doc, row: the document; n: its lines; pos: the line's place.
@@ -39,7 +39,7 @@ def _row_id():
 
 def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
                 lines = text.split("\n")
@@ -50,7 +50,7 @@ def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
             cols = zip(*out, strict=True) if out else [[]] * len(_LINE)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _LINE, strict=True)], schema=_LINE)
 
-    return docs.select(*_row_id(), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, doc long, row long, n int, pos int")
+    return map_texts(docs.select(*_row_id(), F.col("text").cast("string")), run, "h1 long, h2 long, doc long, row long, n int, pos int")
 
 
 def _batch(cols) -> pa.RecordBatch:
@@ -166,11 +166,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             done = [kept_lines(t, k) for t, k in zip(texts(get("text")), get("_keep").to_pylist(), strict=True)]
             text, n, dropped = zip(*done, strict=True) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([*[get(c) for c in others], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*others, "text", "n_lines", "n_dropped"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return joined.mapInArrow(run, f"{kinds}{', ' if kinds else ''}text string, n_lines long, n_dropped long")
+    return map_texts(joined, run, f"{kinds}{', ' if kinds else ''}text string, n_lines long, n_dropped long")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, row_groups, scratch, slices, utf8_view
+from plumbline.llm.common import map_texts, mix, row_groups, scratch, slices, utf8_view
 
 ORDER = 5
 #: Nodes of the trie that workers hold.
@@ -90,7 +90,7 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
         if parts:
             yield _gram_batch(*_merged(parts))
 
-    return texts.mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return map_texts(texts, run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _gram_batch(keys, counts):
@@ -297,4 +297,4 @@ def score_texts(docs: DataFrame, model: PpmModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(scores, pa.float64())], names=[*columns, "ppm_log10"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, f"{kinds}, ppm_log10 double")
+    return map_texts(docs.withColumn("_text", F.col("text").cast("string")), run, f"{kinds}, ppm_log10 double")

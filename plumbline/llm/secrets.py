@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import map_texts, texts
 
 KINDS = ("assign", "access", "hex", "literal")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -127,7 +127,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], names=["doc_id", "spans"])
 
     kinds = "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, kinds)
 
 
 def redact(text: str, mask: str = "[SECRET]") -> str:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, row_groups, utf8_view
+from plumbline.llm.common import map_texts, mix, row_groups, slices, utf8_view
 from plumbline.llm.jaccard_join import word_hashes
 
 BITS = 20
@@ -62,7 +62,7 @@ class Ftrl:
 def feature_rows(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
     """Each row's distinct feature numbers: words, word pairs, and pairs with one word skipped."""
     out = []
-    for first, last in row_groups(offsets, 1 << 20):
+    for first, last in row_groups(offsets, 1 << 18):
         low, high = offsets[first], offsets[last]
         h, at = word_hashes(data[low:high], offsets[first : last + 1] - low)
         with np.errstate(over="ignore"):
@@ -80,14 +80,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, model: Ftrl | None = None,
     model = model or Ftrl()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = feature_rows(*utf8_view(batch.column(0)), model.bits)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1).cast(pa.int64()), batch.column(2)], names=["x", "y", "h"])
 
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max("toxic").cast("long").alias("y"))
     ids = y.orderBy(F.xxhash64("_doc"), "_doc").limit(most)  # at most `most` rows
     found = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "_doc")
-    sample = found.select("text", "y", F.xxhash64("_doc", "text").alias("_h")).mapInArrow(run, "x binary, y long, h long")
+    sample = map_texts(found.select("text", "y", F.xxhash64("_doc", "text").alias("_h")), run, "x binary, y long, h long")
     got = sample.orderBy("h", "x").limit(most).toArrow()  # rows that share an id may be more
     rows = [np.frombuffer(x, np.int32) for x in got.column("x").to_pylist()]
     return model.fit(rows, np.array(got.column("y").to_pylist(), np.float64))
@@ -103,7 +103,7 @@ def score_toxicity(docs: DataFrame, weights, bits: int = BITS) -> DataFrame:
         used, w, bias = shared.value
         dense = np.zeros(1 << bits, np.float32)
         dense[used] = w
-        for batch in batches:
+        for batch in slices(batches):
             text = batch.column(batch.schema.get_field_index("_text"))
             margin = np.array([dense[r].sum(dtype=np.float64) for r in feature_rows(*utf8_view(text), bits)]) + bias
             score = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
@@ -111,7 +111,7 @@ def score_toxicity(docs: DataFrame, weights, bits: int = BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64())], names=[*columns, "toxicity"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, f"{kinds}, toxicity double")
+    return map_texts(docs.withColumn("_text", F.col("text").cast("string")), run, f"{kinds}, toxicity double")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch, slices, texts
+from plumbline.llm.common import map_texts, scratch, slices, texts
 
 #: Most frequent tokens that workers hold; the others' counts come by a join.
 HEAD = 150_000
@@ -38,7 +38,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                     held = Counter()
         yield _batch(held)
 
-    return docs.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return map_texts(docs, run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def _batch(held):
@@ -95,7 +95,7 @@ def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD, also:
                 yield pa.RecordBatch.from_arrays([*kept, *more, pa.array(n_tokens, pa.int64()), pa.array(sums, pa.float64()), pa.array(knowns, pa.int64()), pa.array(rest, tail)], names=names)
 
     kinds_of = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others) + "".join(f"`{c}` double, " for c in also) + "n_tokens long, head_score double, head_known long, rare array<struct<token: binary, n: long>>"
-    scored = docs.select(*others, F.col("text").cast("string")).mapInArrow(run, kinds_of)
+    scored = map_texts(docs.select(*others, F.col("text").cast("string")), run, kinds_of)
     scored = scratch(scored.withColumn("_id", F.monotonically_increasing_id()), "heads")  # written, so the ids stay
     rare = scored.select("_id", F.explode("rare").alias("r")).select("_id", "r.token", "r.n")
     met = rare.join(counts, "token", "left")
