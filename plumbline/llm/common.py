@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -51,8 +52,15 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker stays for the next stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow, its batches bounded in bytes, not only in rows.
+    """df.mapInArrow, its batches bounded in bytes, not only in rows; workers give memory back after each task.
 
     The bound is the session's (spark.sql.execution.arrow.maxBytesPerBatch), and is only ever lowered.
     """
@@ -60,7 +68,14 @@ def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
     now = conf.get(name)
     if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
