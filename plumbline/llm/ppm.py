@@ -5,29 +5,30 @@ texts, and shorter contexts follow by leaving out the oldest byte. A text begins
 and ends with an end mark, so that a text's probability is that of a whole text. Escapes are estimated by
 method C (distinct symbols over occurrences plus distinct symbols), with symbol exclusion. In a fixed trie
 the symbols seen after a context are also seen after its suffixes, so what exclusion leaves depends on the
-context alone, and each node's code length can be worked out beforehand; scoring is then lookups of whole
-arrays of positions. A trie over `max_nodes` is pruned to its most frequent nodes, which leaves it closed
-under suffixes.
+context alone, and each node's code length can be worked out beforehand. A position's code length depends on
+its (order+1)-gram alone. Those of the most frequent grams travel to the workers; a text's other grams meet
+theirs in a join, for which the trie is cut by the last two bytes of contexts: with the counts of single bytes
+and pairs, each part has all that its grams need. Nothing is pruned, so all totals are of all training text.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_texts, mix, row_groups, scratch, slices, utf8_view
 
 ORDER = 5
-#: Nodes of the trie that workers hold.
-MAX_NODES = 1_400_000
+#: Most frequent grams whose code lengths workers hold; the others' come by a join.
+HEAD = 1_400_000
+#: Grams of a part of the trie that a task works on at once, unless two bytes of context have more.
+PART = 300_000
 #: Bytes that no UTF-8 text has.
 START, END = 0xFE, 0xFF
 _U = np.uint64
@@ -193,8 +194,7 @@ class PpmModel:
             escape_below = np.where(left > 0, log(left_kinds) - below, 0.0)
             direct = log(counts) - log(total + kinds)[of]
         seen = kinds[_find_sorted(contexts, np.zeros(1, np.uint64))[0]] if len(contexts) else 0
-        small = lambda x: x.astype(np.float32)
-        return cls(order, _Table(keys), small(direct), small(log(counts)), _Table(contexts), small(escape), small(below), small(escape_below), -math.log10(max(1.0, 256 - seen)))
+        return cls(order, _Table(keys), direct, log(counts), _Table(contexts), escape, below, escape_below, -math.log10(max(1.0, 256 - seen)))
 
     def log10(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each text's log10 probability, its end included."""
@@ -226,31 +226,72 @@ class PpmModel:
         return out
 
 
-def fit_ppm(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> PpmModel:
-    """From all texts (one string column; null is empty). The driver gets at most max_nodes nodes."""
+@dataclass
+class PpmTrie:
+    """All counted grams, and what of them is small."""
+
+    order: int
+    grams: DataFrame  # (gram, c), in the shared folder
+    pairs: tuple[np.ndarray, np.ndarray]  # the last two symbols of grams and their counts: 2^16 at most
+    head: tuple[_Table, np.ndarray]  # the most frequent grams and the log10 of their probabilities
+
+
+def fit_ppm(texts: DataFrame, order: int = ORDER, head: int = HEAD) -> PpmTrie:
+    """From all texts (one string column; null is empty); order is 2 to 6. The driver gets at most `head` grams, and pairs of bytes."""
     grams = scratch(count_grams(texts, order), "grams")
-    levels = []
-    for n in range(order + 1, 0, -1):
-        short = F.col("gram").bitwiseAND(F.lit(int(_mask(n)) if n < 8 else -1)) if n <= order else F.col("gram")
-        levels.append(grams.groupBy(short.alias("gram")).agg(F.sum("c").alias("c")).select(F.lit(n).alias("n"), "gram", "c"))
-    nodes = levels[0]
-    for more in levels[1:]:
-        nodes = nodes.unionByName(more)
-    nodes = scratch(nodes, "nodes")
+    got = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("c").alias("c")).orderBy("gram").toArrow()
+    pairs = (got.column("gram").to_numpy().astype(np.uint64), got.column("c").to_numpy())
     # counts in steps of an eighth of a power of two: some hundred rows
     step = F.floor(F.log2("c") * 8).cast("int")
-    histogram = sorted(((r[0], r[1]) for r in nodes.groupBy(step.alias("s")).count().collect()), reverse=True)
     kept, least = 0, None
-    for s, n in histogram:
-        if kept + n > max_nodes:
+    for s, n in sorted(((r[0], r[1]) for r in grams.groupBy(step.alias("s")).count().collect()), reverse=True):
+        if kept + n > head:
             break
         kept, least = kept + n, s
-    got = nodes.where(step >= least).toArrow() if least is not None else None
-    found = {}
-    for n in range(1, order + 2) if got is not None else ():
-        rows = got.filter(pc.equal(got.column("n"), n))
-        found[n] = (rows.column("gram").to_numpy().astype(np.uint64), rows.column("c").to_numpy())
-    return PpmModel.of(order, {n: v for n, v in found.items() if len(v[0])})
+    keys, values = np.zeros(0, np.uint64), np.zeros(0)
+    if least is not None:
+        context = F.shiftrightunsigned("gram", 8).alias("context")
+        below = grams.groupBy(context).agg((F.sum("c") + F.count("*")).alias("below"), F.max("c").alias("most"))
+        frequent = grams.where(step >= least).withColumn("context", context)
+        rows = frequent.join(below.where(F.floor(F.log2("most") * 8).cast("int") >= least), "context").select("gram", (F.log10("c") - F.log10("below")).alias("value")).toArrow()
+        keys, values = rows.column("gram").to_numpy().astype(np.uint64), rows.column("value").to_numpy()
+    return PpmTrie(order, grams, pairs, (_Table(keys), values))
+
+
+def part_log10(order: int, pairs: tuple[np.ndarray, np.ndarray], grams: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the wanted grams. grams: all counted ones whose contexts end like one of the wanted."""
+    levels = {1: _merged([(pairs[0] & _mask(1), pairs[1])]), 2: pairs} if len(pairs[0]) else {}
+    if len(grams):
+        levels |= {n: _merged([(grams & _mask(n), counts)]) for n in range(3, order + 2)}
+    return PpmModel.of(order, levels)._positions(wanted)
+
+
+def gram_log10(trie: PpmTrie, wanted: DataFrame) -> DataFrame:
+    """(gram, value) of distinct wanted grams, from the whole trie: by parts of it, none of which the driver sees."""
+    order, pairs, most = trie.order, trie.pairs, PART
+    rows = trie.grams.select("gram", "c").unionByName(wanted.select("gram", F.lit(0).cast("long").alias("c")))
+    ends = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if not held:
+            return
+        grams, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        end = (grams >> _U(8)) & _mask(2)
+        by = np.argsort(end, kind="stable")
+        grams, counts, end = grams[by], counts[by], end[by]
+        cuts = [*np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])).tolist(), len(end)]
+        first = 0
+        for k in range(1, len(cuts)):
+            if k + 1 < len(cuts) and cuts[k + 1] - first <= most:
+                continue
+            g, c = grams[first : cuts[k]], counts[first : cuts[k]]
+            first, ask = cuts[k], g[c == 0]
+            if len(ask):
+                value = part_log10(order, pairs, g[c > 0], c[c > 0], ask)
+                yield pa.RecordBatch.from_arrays([pa.array(ask.astype(np.int64)), pa.array(value)], names=["gram", "value"])
+
+    return map_texts(rows.repartition(ends), run, "gram long, value double")
 
 
 def adaptive_log10(text: str, order: int = ORDER) -> float:
@@ -280,21 +321,66 @@ def adaptive_log10(text: str, order: int = ORDER) -> float:
     return total
 
 
-def text_scorer(spark: SparkSession, model: PpmModel) -> Callable[[pa.Array], np.ndarray]:
-    """What gives a string column's scores in a worker; null is empty."""
-    shared = spark.sparkContext.broadcast(model)
-    return lambda column: shared.value.log10(*utf8_view(column))
+class TextScorer:
+    """Scores of string columns in workers, but for the rare grams that these return; and those grams' scores."""
+
+    def __init__(self, spark: SparkSession, trie: PpmTrie) -> None:
+        self.trie, self.order, self.shared = trie, trie.order, spark.sparkContext.broadcast(trie.head)
+
+    def __getstate__(self) -> tuple:
+        return self.order, self.shared  # what a worker needs
 
+    def __setstate__(self, state: tuple) -> None:
+        self.order, self.shared = state
 
-def score_texts(docs: DataFrame, model: PpmModel) -> DataFrame:
+    def head(self, column: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each row's log10 probability over frequent grams, its end included, and its other grams; null is empty."""
+        data, offsets = utf8_view(column)
+        table, value = self.shared.value
+        sums, sizes, rare, times = np.zeros(len(offsets) - 1), [], [], []
+        for first, last in row_groups(offsets, 1 << 18):
+            low = offsets[first]
+            symbols, places, begins = _stream(data[low : offsets[last]], offsets[first : last + 1] - low, self.order)
+            grams = _grams(symbols, places, self.order + 1)
+            at = table.find(grams)
+            known = at >= 0
+            if len(value):
+                sums[first:last] = np.add.reduceat(np.where(known, value[at], 0.0), begins)
+            left = np.flatnonzero(~known)
+            row = np.searchsorted(begins, left, "right") - 1
+            grams = grams[left]
+            by = np.lexsort((grams, row))
+            row, grams = row[by], grams[by]
+            starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])])) if len(row) else np.zeros(0, np.int64)
+            rare.append(grams[starts].astype(np.int64))
+            times.append(np.diff(np.append(starts, len(row))))
+            sizes.append(np.bincount(row[starts], minlength=last - first))
+        joined = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
+        cells = pa.StructArray.from_arrays([pa.array(joined(rare)), pa.array(joined(times))], names=["gram", "n"])
+        return pa.array(sums), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(joined(sizes))).astype(np.int32)), cells)
+
+    def tails(self, rare: DataFrame) -> DataFrame:
+        """(_id, tail): the log10 probabilities of rare grams by row. rare: (_id, gram, n), n times each."""
+        values = scratch(gram_log10(self.trie, rare.select("gram").distinct()), "values")
+        return rare.join(values, "gram").groupBy("_id").agg(F.sum(F.col("n") * F.col("value")).alias("tail"))
+
+
+#: Of the grams that TextScorer.head returns.
+RARE = "array<struct<gram: long, n: long>>"
+
+
+def score_texts(docs: DataFrame, trie: PpmTrie) -> DataFrame:
     """docs with ppm_log10, of the whole text; null is empty."""
-    score = text_scorer(docs.sparkSession, model)
+    scorer = TextScorer(docs.sparkSession, trie)
     columns = docs.columns
 
     def run(batches):
         for batch in slices(batches):
-            scores = score(batch.column(batch.schema.get_field_index("_text")))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(scores, pa.float64())], names=[*columns, "ppm_log10"])
+            scores, rare = scorer.head(batch.column(batch.schema.get_field_index("_text")))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], scores, rare], names=[*columns, "_head", "_rare"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_texts(docs.withColumn("_text", F.col("text").cast("string")), run, f"{kinds}, ppm_log10 double")
+    found = map_texts(docs.withColumn("_text", F.col("text").cast("string")), run, f"{kinds}, _head double, _rare {RARE}")
+    found = scratch(found.withColumn("_id", F.monotonically_increasing_id()), "ppm")  # written, so the ids stay
+    tails = scorer.tails(found.select("_id", F.inline("_rare")))
+    return found.join(tails, "_id", "left").select(*columns, (F.col("_head") + F.coalesce("tail", F.lit(0.0))).alias("ppm_log10"))

@@ -87,8 +87,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("held_out", crc_mod("doc_id", 10) == 0)
     training = docs.where(~F.col("held_out")).select("text")
-    ppm_log10 = ppm.text_scorer(spark, ppm.fit_ppm(training))
-    both = unigrams.score_unigrams(docs, training, also={"ppm_log10": ppm_log10})
+    scorer = ppm.TextScorer(spark, ppm.fit_ppm(training))
+    both = unigrams.score_unigrams(docs, training, also={"ppm_log10": scorer})
     return both.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col("ppm_log10").alias("score"))
 
 

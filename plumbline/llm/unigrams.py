@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_texts, scratch, slices, texts
+from plumbline.llm.ppm import RARE, TextScorer
 
 #: Most frequent tokens that workers hold; the others' counts come by a join.
 HEAD = 150_000
@@ -45,12 +44,12 @@ def _batch(held):
     return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
 
 
-def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD, also: dict[str, Callable[[pa.Array], np.ndarray]] | None = None) -> DataFrame:
+def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD, also: dict[str, TextScorer] | None = None) -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens and base_score; a row for each row.
 
     training: one string column. The most frequent tokens (at most `head`) are broadcast; other tokens of
     a document meet their counts in a join, so that all counts are exact. Null texts are empty. also: other
-    scores by name, each from a string column, worked out in the same pass over the texts.
+    scores by name, worked out in the same pass over the texts, but for their own rare part.
     """
     spark = docs.sparkSession
     counts = scratch(count_tokens(training), "tokens")
@@ -69,7 +68,8 @@ def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD, also:
     shared = spark.sparkContext.broadcast({t: math.log10((c + SMOOTH) / below) for t, c in known.items()})
     tail = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
     others, also = [c for c in docs.columns if c != "text"], also or {}
-    names = [*others, *also, "n_tokens", "head_score", "head_known", "rare"]
+    pairs = [c for name in also for c in (name, f"{name}_rare")]
+    names = [*others, *pairs, "n_tokens", "head_score", "head_known", "rare"]
 
     def run(batches):
         frequent = shared.value
@@ -77,7 +77,7 @@ def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD, also:
             for k in range(0, batch.num_rows, 512):
                 n_tokens, sums, knowns, rest = [], [], [], []
                 column = batch.column(len(others)).slice(k, 512)
-                more = [pa.array(score(column), pa.float64()) for score in also.values()]
+                more = [c for scorer in also.values() for c in scorer.head(column)]
                 for text in texts(column):
                     found = Counter(tokens(text))
                     n_tokens.append(sum(found.values()))
@@ -94,14 +94,17 @@ def score_unigrams(docs: DataFrame, training: DataFrame, head: int = HEAD, also:
                 kept = [batch.column(c).slice(k, 512) for c in range(len(others))]
                 yield pa.RecordBatch.from_arrays([*kept, *more, pa.array(n_tokens, pa.int64()), pa.array(sums, pa.float64()), pa.array(knowns, pa.int64()), pa.array(rest, tail)], names=names)
 
-    kinds_of = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others) + "".join(f"`{c}` double, " for c in also) + "n_tokens long, head_score double, head_known long, rare array<struct<token: binary, n: long>>"
+    kinds_of = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others) + "".join(f"`{c}` double, `{c}_rare` {RARE}, " for c in also) + "n_tokens long, head_score double, head_known long, rare array<struct<token: binary, n: long>>"
     scored = map_texts(docs.select(*others, F.col("text").cast("string")), run, kinds_of)
     scored = scratch(scored.withColumn("_id", F.monotonically_increasing_id()), "heads")  # written, so the ids stay
     rare = scored.select("_id", F.explode("rare").alias("r")).select("_id", "r.token", "r.n")
     met = rare.join(counts, "token", "left")
     value = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(SMOOTH)) / F.lit(below))
     tails = met.groupBy("_id").agg(F.sum(value).alias("tail_score"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
-    joined = scored.drop("rare").join(tails, "_id", "left")
+    joined = scored.drop("rare", *[f"{c}_rare" for c in also]).join(tails, "_id", "left")
+    for name, scorer in also.items():
+        more = scorer.tails(scored.select("_id", F.inline(f"{name}_rare"))).withColumnRenamed("tail", f"{name}_tail")
+        joined = joined.join(more, "_id", "left").withColumn(name, F.col(name) + F.coalesce(f"{name}_tail", F.lit(0.0)))
     n_known = F.col("head_known") + F.coalesce("tail_known", F.lit(0))
     base = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
     return joined.select(*others, *also, "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"))

@@ -335,6 +335,23 @@ def test_ppm_against_brute_force():
     assert model.log10(*utf8_view(pa.array(texts))) == pytest.approx([brute(t) for t in texts], abs=1e-3)
 
 
+def test_ppm_scores_by_all_counted_grams(spark, monkeypatch):
+    rng = random.Random(12)
+    train = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(0, 80))) for _ in range(40)]
+    scored = [*train[:8], "", None, "zzz", "ab cdé", "日本a"]
+    grams = {}
+    data, offsets = utf8_view(pa.array(train))
+    symbols, places, _ = ppm._stream(data, offsets, ppm.ORDER)
+    for n in range(1, ppm.ORDER + 2):
+        grams[n] = np.unique(ppm._grams(symbols, places, n), return_counts=True)
+    want = ppm.PpmModel.of(ppm.ORDER, grams).log10(*utf8_view(pa.array(scored)))
+    texts, docs = spark.createDataFrame([(t,) for t in train], "text string"), spark.createDataFrame(list(enumerate(scored)), "k long, text string")
+    monkeypatch.setattr(ppm, "PART", 50)
+    for head in (0, 60, 10**6):
+        got = ppm.score_texts(docs, ppm.fit_ppm(texts, ppm.ORDER, head)).orderBy("k").collect()
+        assert [r.ppm_log10 for r in got] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_adaptive_scores_are_probabilities():
     # all texts of up to two symbols out of the first steps can't have more than probability 1
     assert sum(10 ** ppm.adaptive_log10(t, 2) for t in ["", *map(chr, range(128))]) <= 1
