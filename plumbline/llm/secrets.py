@@ -35,14 +35,16 @@ SENSITIVE = (
 #: Values that stand for a secret but are none.
 PLACEHOLDER = re.compile(r"(?:x+|\*+|\.+|<.*>|\$\{.*\}|%\(.*\)s|null|none|true|false|changeme|example|your[-_ ].*|todo)\Z", re.I | re.A)
 
+#: No length is bounded. Names start where no other name runs on, and quantifiers never give back, so that time is linear.
+_DOUBLE, _SINGLE = r'"(?:[^"\\\n]++|\\.)*+"', r"'(?:[^'\\\n]++|\\.)*+'"
 _TRIPLE = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][\w.\-]{0,80})(?P=q)[\x20\t]{0,8}(?P<op>:=|=>|==|!=|=|:)[\x20\t]{0,8}
-    (?:(?P<lit>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')
-       (?P<more>(?:[\x20\t]{0,8}\+[\x20\t]{0,8}(?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')){0,16})
-      |(?P<word>[^\s"',;(){}\[\]<>]{1,4096}))""",
+    rf"""(?:(?P<q>["'])(?P<quoted>[A-Za-z_][\w.\-]*+)(?P=q)|(?<![\w.\-])[\d.\-]*+(?P<plain>[A-Za-z_][\w.\-]*+))[\x20\t]*+(?P<op>:=|=>|==|!=|=|:)[\x20\t]*+
+    (?:(?P<lit>{_DOUBLE}|{_SINGLE})
+       (?P<more>(?:[\x20\t]*+\+[\x20\t]*+(?:{_DOUBLE}|{_SINGLE}))*+)
+      |(?P<word>[^\s"',;(){{}}\[\]<>]++))""",
     re.ASCII | re.VERBOSE,
 )
-_PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'""")
+_PART = re.compile(r""""((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'""")
 _NAME = re.compile(r"[A-Za-z_][\w.]*\Z", re.ASCII)
 
 
@@ -82,7 +84,8 @@ def literal_spans(text: str, threshold: float = 0.45, min_chars: int = 8) -> lis
     for m in _TRIPLE.finditer(text):
         if m["op"] in ("==", "!="):
             continue
-        name = m["name"].rpartition(".")[2] or m["name"]
+        full = m["quoted"] or m["plain"]
+        name = full.rpartition(".")[2] or full
         if m["lit"]:
             whole = m["lit"] + (m["more"] or "")
             at = m.start("lit")
@@ -96,8 +99,8 @@ def literal_spans(text: str, threshold: float = 0.45, min_chars: int = 8) -> lis
                 parts = [(m.start("word"), m.start("word") + len(word), word)]
                 if m["op"] == ":" or not any(c.isdigit() for c in word):  # prose, or an unknown name
                     parts = parts if name_weight(name) and any(c.isdigit() for c in word) else []
-        constants[m["name"]] = constants[name] = parts
-        if (weight := name_weight(m["name"])) and parts:
+        constants[full] = constants[name] = parts
+        if (weight := name_weight(full)) and parts:
             value = "".join(p[2] for p in parts)
             score = weight * randomness(value)
             if len(value) >= min_chars and score >= threshold and " " not in value and not PLACEHOLDER.match(value):

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -407,6 +408,25 @@ def test_constants_are_propagated():
     assert "Zx81" not in secrets.redact(text)
 
 
+def test_lexer_has_no_length_limits():
+    rng = random.Random(5)
+    secret = lambda n: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(n))
+    found = lambda text: [text[s:e] for s, e, _ in secrets.literal_spans(text)]
+    long, short, parts = secret(10_000), secret(20), [secret(12) for _ in range(30)]
+    assert found(f'private_key = "{long}"') == [long] and found(f"private_key = '{long}'") == [long]
+    assert found(f"private_key = {long}") == [long] and long[-50:] not in secrets.redact(f"private_key = {long}")
+    assert found(f'db_credential{" " * 40}={" " * 40}"{short}"') == [short]
+    assert found("private_key = " + f"{' ' * 20}+{' ' * 20}".join(f'"{p}"' for p in parts)) == parts
+    assert found(f'credential_{"x" * 100} = "{short}"') == [short] and found(f'"credential_{"x" * 100}": "{short}"') == [short]
+
+
+def test_lexer_is_linear():
+    for unit in ("a", "a ", " ", "1.", "-", '"', "\\", 'a="', "a='\\", '+"b"', "a=", "a:="):
+        start = time.perf_counter()
+        secrets.literal_spans("k = " + unit * 200_000)
+        assert time.perf_counter() - start < 10, unit
+
+
 def test_pipeline_against_its_operators(spark, odd, empty):
     docs = spark.read.parquet(f"{SMALLEST}/documents.parquet")
     kept = docs
