@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import metrics
+
+#: The reference's bootstrap metrics.
+WHOLE = ("average_precision", "log_loss", "brier", "gauc_events", "gauc_users")
+
 
 def contrast(metrics: DataFrame, keys: list[str], a: str, b: str, names: list[str]) -> DataFrame:
     """keys and, for each metric, its value for model a less that for b."""
@@ -43,6 +48,39 @@ def bootstrap(rows: DataFrame, drawn: DataFrame, a: str, b: str) -> DataFrame:
     return d.groupBy("metric").agg(F.count("*").alias("replicates"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("se"), q[0].alias("low"), q[1].alias("high"))
 
 
+def bootstrap_whole(rows: DataFrame, drawn: DataFrame, a: str, b: str) -> DataFrame:
+    """bootstrap's columns for all metrics of WHOLE; replicates counts those where both models have the metric.
+
+    A user's score groups and AUC are worked out once; a replicate weighs them by how often it drew the user.
+    """
+    rows, keys = rows.where(F.col("model").isin(a, b)), ["replicate", "model"]
+    times = F.col("times")
+    mean = lambda c, w: F.sum(times * w * F.col(c)) / F.sum(times * w)
+    groups = metrics.score_groups(rows, ["model", "user_id"]).join(drawn, "user_id")
+    groups = groups.groupBy(*keys, "score").agg(F.sum(times * F.col("n")).alias("n"), F.sum(times * F.col("p")).alias("p"))
+    ap = metrics.ranking(groups, keys).select(*keys, "average_precision")
+    sums = user_sums(rows).join(drawn, "user_id").groupBy(*keys)
+    additive = sums.agg(*[(F.sum(times * F.col(c)) / F.sum(times * F.col("n"))).alias(m) for c, m in (("loss", "log_loss"), ("square", "brier"))])
+    users = metrics.user_auc(rows, ["model"]).join(drawn, "user_id").groupBy(*keys)
+    gauc = users.agg(mean("auc", F.col("n")).alias("gauc_events"), mean("auc", F.lit(1)).alias("gauc_users"))
+    d = contrast(additive.join(ap, keys).join(gauc, keys, "left"), ["replicate"], a, b, list(WHOLE))
+    d = d.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in WHOLE])))
+    q = F.percentile("x", [0.025, 0.975])
+    return d.groupBy("metric").agg(F.count("x").alias("replicates"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("se"), q[0].alias("low"), q[1].alias("high"))
+
+
+def release_gates(intervals: DataFrame, gates: list[tuple[str, str, str, float]]) -> DataFrame:
+    """(gate, verdict) of (gate, metric, kind, margin); missing without an interval.
+
+    superiority: the low end is above the margin. at_least: it isn't below it. at_most: the high end isn't above it.
+    """
+    frozen = intervals.sparkSession.createDataFrame(gates, "gate string, metric string, kind string, margin double")
+    joined = F.broadcast(frozen).join(intervals, "metric", "left")
+    kind, low, high, margin = (F.col(c) for c in ("kind", "low", "high", "margin"))
+    good = F.when(kind == "superiority", low > margin).when(kind == "at_least", low >= margin).when(kind == "at_most", high <= margin)
+    return joined.select("gate", F.when(low.isNull() | high.isNull(), "missing").when(good, "pass").otherwise("fail").alias("verdict"))
+
+
 def gate(intervals: DataFrame, margins: dict[str, float]) -> DataFrame:
     """(metric, verdict): pass if the interval's high end stays within the margin (lower is better); missing without one."""
     spark = intervals.sparkSession
