@@ -6,6 +6,7 @@ are the few others. The driver fits on a bounded sample of labelled documents, i
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from plumbline.llm.jaccard_join import word_hashes
 BITS = 20
 #: Labelled documents that are learned from, at most: the first by a hash of id and text.
 SAMPLE = 10_000
+#: log odds of a toxic document where no label says anything: 1 in 100.
+UNTAUGHT = -math.log(99)
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -76,7 +79,7 @@ def feature_rows(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> lis
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, model: Ftrl | None = None, most: int = SAMPLE):
-    """(feature numbers, weights, bias). Without labels all weights are zero and the bias is 0."""
+    """(feature numbers, weights, bias). Where no label meets a document there are no weights, and the bias is UNTAUGHT."""
     model = model or Ftrl()
 
     def run(batches):
@@ -90,6 +93,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, model: Ftrl | None = None,
     sample = map_texts(found.select("text", "y", F.xxhash64("_doc", "text").alias("_h")), run, "x binary, y long, h long")
     got = sample.orderBy("h", "x").limit(most).toArrow()  # rows that share an id may be more
     rows = [np.frombuffer(x, np.int32) for x in got.column("x").to_pylist()]
+    if not rows:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), UNTAUGHT
     return model.fit(rows, np.array(got.column("y").to_pylist(), np.float64))
 
 
@@ -115,5 +120,5 @@ def score_toxicity(docs: DataFrame, weights, bits: int = BITS) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without those that score at least the threshold."""
+    """docs without those that score at least the threshold; all docs if no toxic label, 0 or 1, meets one of them."""
     return score_toxicity(docs, fit_toxicity(docs, labels)).where(F.col("toxicity") < threshold).select(*docs.columns)

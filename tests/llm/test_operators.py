@@ -268,6 +268,13 @@ def test_toxicity(spark):
     assert held[held.toxic == 1].predicted.mean() >= 0.5 and held[held.toxic == 0].predicted.mean() <= 0.05
 
 
+def test_without_labels_all_documents_are_kept(spark, odd):
+    docs, labels = spark.read.parquet(f"{odd}/documents.parquet"), spark.read.parquet(f"{odd}/labels.parquet")
+    absent = labels.withColumn("doc_id", F.lit(10**9).cast("long"))
+    for none in (labels.limit(0), absent, labels.withColumn("toxic", F.lit(None).cast("int"))):
+        assert toxicity.keep_civil(docs, none).count() == docs.count() > 0
+
+
 def test_feature_rows_do_not_reach_over_texts():
     alone = [toxicity.feature_rows(*utf8_view(pa.array([t])))[0].tolist() for t in ("a b c", "", "d", "A  B c")]
     together = [r.tolist() for r in toxicity.feature_rows(*utf8_view(pa.array(["a b c", "", "d", "A  B c"])))]
