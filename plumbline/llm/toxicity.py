@@ -88,7 +88,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, model: Ftrl | None = None,
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1).cast(pa.int64()), batch.column(2)], names=["x", "y", "h"])
 
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max("toxic").cast("long").alias("y"))
-    ids = y.orderBy(F.xxhash64("_doc"), "_doc").limit(most)  # at most `most` rows
+    here = y.join(docs.select(F.col("doc_id").cast("long").alias("_doc")), "_doc", "left_semi")  # labels without a document take no place
+    ids = here.orderBy(F.xxhash64("_doc"), "_doc").limit(most)  # at most `most` rows
     found = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "_doc")
     sample = map_texts(found.select("text", "y", F.xxhash64("_doc", "text").alias("_h")), run, "x binary, y long, h long")
     got = sample.orderBy("h", "x").limit(most).toArrow()  # rows that share an id may be more

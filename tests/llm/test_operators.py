@@ -275,6 +275,14 @@ def test_without_labels_all_documents_are_kept(spark, odd):
         assert toxicity.keep_civil(docs, none).count() == docs.count() > 0
 
 
+def test_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(k, f"{'idiot moron' if k % 2 else 'kind words'} t{k}") for k in range(20)], "doc_id long, text string")
+    labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    absent = spark.range(1000, 3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    want, got = toxicity.fit_toxicity(docs, labels, most=20), toxicity.fit_toxicity(docs, labels.unionByName(absent), most=20)
+    assert len(want[0]) and all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+
+
 def test_feature_rows_do_not_reach_over_texts():
     alone = [toxicity.feature_rows(*utf8_view(pa.array([t])))[0].tolist() for t in ("a b c", "", "d", "A  B c")]
     together = [r.tolist() for r in toxicity.feature_rows(*utf8_view(pa.array(["a b c", "", "d", "A  B c"])))]
