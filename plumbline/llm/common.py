@@ -5,11 +5,12 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Mixing constants of splitmix64 (fixed values).
@@ -33,6 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Of the tables that scratch has written.
+_paths: list[str] = []
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: its lineage ends there.
 
@@ -45,7 +50,58 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    _paths.append(path)
+    return written
+
+
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """scratch, and aggregates of what is written, from the same job."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    written = scratch(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return written, seen.get
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    if path in _paths:
+        _paths.remove(path)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete scratch tables that nothing will read any more."""
+    for df in written:
+        _delete(df.sparkSession, df.scratch_path)
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s result, written; the scratch tables that it took are deleted then."""
+    before = set(_paths)
+    out = scratch(make(), name)
+    for path in [p for p in _paths if p not in before and p != out.scratch_path]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+#: Keys with over 1/HOT of all rows, of which there are fewer than HOT, are hot; up to LEAST_HOT rows never are.
+HOT, LEAST_HOT = 1000, 1000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, seen: dict) -> DataFrame:
+    """rows joined with small by key, no task getting all rows of a hot key.
+
+    small: one row for each key, with `n`, at least the number of rows of that key; n doesn't come along.
+    seen: the sum of n as `total` and the largest as `most`. Fewer than HOT rows of small are broadcast.
+    """
+    limit = max(LEAST_HOT, (seen["total"] or 0) // HOT)
+    if (seen["most"] or 0) <= limit:
+        return rows.join(small.drop("n"), key)
+    hot = F.broadcast(small.where(F.col("n") > limit).drop("n"))
+    cold = rows.join(hot, key, "left_anti").join(small.where(F.col("n") <= limit).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)
 
 
 #: Bytes of a batch that a worker gets, about: long texts make short batches.
@@ -78,6 +134,27 @@ def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to be no column's name in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """df's columns but those of the names, in any case of letters: an output's name replaces an input column."""
+    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
+def kinds_of(df: DataFrame, names: list[str]) -> str:
+    """Schema text of the named columns, to put others behind."""
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
