@@ -2,15 +2,18 @@
 
 1. Each text becomes the set of its 5-word shingles (64-bit hashes), MinHash values of it, a 128-bit
    fingerprint and band keys. Documents of one set are a class; from here on only classes are joined.
-2. Classes that share a band key are candidates. Within a bucket MinHash values are compared in steps;
-   after each step the pairs go whose posterior probability of reaching the threshold, given the matches
-   so far, is below the tolerance. What is left gives a spanning forest of each bucket, never its pairs,
-   and the forests' components are clusters: every pair that survived anywhere lies within one.
+2. Classes that share a band key are candidates. MinHash values are compared in steps; after each step the
+   pairs go whose posterior probability of reaching the threshold, given the matches so far, is below the
+   tolerance. A bucket's classes are first compared with its head, its smallest class. Those that survive
+   are linked to it and thus to each other; only the others are compared with the whole bucket. What is
+   left gives a spanning forest of each bucket, never its pairs, and the forests' components are clusters:
+   every pair that survived anywhere lies within one.
 3. Each cluster is verified exactly, on shingle sets, pruned again by the same rule; a block of pairs
    returns a class's number of links and a spanning forest. The components of these forests are the groups.
+   Where links needn't be counted, classes are verified against the cluster's root first, likewise.
 
-Buckets and clusters over a block's size are dealt out as pairs of blocks, so a task holds two blocks,
-and rows grow with (group / block), not with pairs.
+Groups over a block's size are dealt out as pairs of blocks, so a task holds two blocks, and rows grow with
+(group / block), not with pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NO_ID, map_texts, mix, row_groups, scratch, slices, text_hash, utf8_view
+from plumbline.llm.common import NO_ID, join_hot, map_texts, measured, mix, row_groups, scratch, slices, text_hash, unused, utf8_view
 from plumbline.llm.graph import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -54,8 +58,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))]) for base in (_PRIME, _INVERSE))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the n+1 offsets of the rows in them."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()) -> tuple:
+    """Hashes of all words, and the n+1 offsets of the rows in them.
+
+    With stems also, for each of these numbers of bytes, which words are longer, and hashes of so long a beginning.
+    """
     word = _WORD[data]
     before = np.concatenate([[False], word[:-1]])
     after = np.concatenate([word[1:], [False]])
@@ -68,7 +75,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[data] + np.uint64(1)) * power[: len(data)])])
         h = (total[ends] - total[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+        begun = [(ends - starts > n, mix((total[np.minimum(starts + n, ends)] - total[starts]) * inverse[starts] - np.uint64(n))) for n in stems]
+        hashes, at = mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    return (hashes, at, begun) if stems else (hashes, at)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -178,17 +187,20 @@ def features(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text").cast("string")).alias("row"), F.col("text").cast("string")), run, kinds)
 
 
-def _dealt(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """rows with (_i, _j, _side): a group of over `block` rows becomes pairs of its blocks, each a task's unit.
+def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows with (_i, _j, _own), dealt out by pairs of blocks of their group, each a task's unit.
 
-    The row's block follows from its sid, so that it needs no rank within the group.
+    rows: with n_left and n_rest, how many rows of the group are `left` and how many aren't. Left rows make the
+    first blocks, and all blocks meet each of these; rows that aren't left don't meet each other. A row's
+    block follows from its sid, so that it needs no rank within the group.
     """
-    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", own).select("*", others.alias("_other"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    h, a, b = F.xxhash64("sid"), F.col("_a"), F.col("_b")
+    own = F.when(F.col("left"), F.pmod(h, a)).otherwise(a + F.pmod(h, F.greatest(b, F.lit(1)))).cast("int")
+    dealt = rows.withColumns({"_a": blocks("n_left"), "_b": blocks("n_rest")}).withColumn("_own", own)
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), a + b - 1).otherwise(a - 1))))
     dealt = dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
-    dealt = dealt.drop("_blocks", "_other")
+    dealt = dealt.drop("_a", "_b", "_other", "left", "n_left", "n_rest")
     return dealt.repartition(group, "_i", "_j").sortWithinPartitions(group, "_i", "_j")
 
 
@@ -276,13 +288,46 @@ def _bucket_forests(threshold: float, tolerance: float):
     return run
 
 
+def _met_heads(threshold: float, tolerance: float):
+    names = ["sid", "head", "keys", "linked"]
+
+    def run(batches):
+        least = least_matches(threshold, tolerance)
+        for batch in batches:
+            n = batch.num_rows
+            sig = np.concatenate([_signatures(batch.column(3)), _signatures(batch.column(4))])
+            linked = np.zeros(n, bool)
+            linked[surviving(sig, np.arange(n), np.arange(n) + n, least)[0]] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(linked)], names=names)
+
+    return run
+
+
 def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(u, v): spanning forests of the pairs that survive in each bucket."""
     keyed = classes.select("sid", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("_size")).where("_size > 1")
-    rows = keyed.join(sizes, "key").join(classes.select("sid", "sig"), "sid").select("key", "sid", "_size", "sig")
-    dealt = _dealt(rows, "key", "_size", BUCKET_BLOCK).select("key", "_i", "_j", "_own", "sid", "sig")
-    return dealt.mapInArrow(_bucket_forests(threshold, tolerance), "u binary, v binary").distinct()
+    by = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("head")).where("n > 1")
+    buckets, seen = measured(by, "buckets", total=F.sum("n"), most=F.max("n"))
+    sigs = classes.select(F.col("sid").alias("head"), F.col("sig").alias("head_sig"))
+    heads, heads_seen = measured(buckets.groupBy("head").agg(F.sum("n").alias("n")).join(sigs, "head"), "heads", total=F.sum("n"), most=F.max("n"))
+    mine = join_hot(keyed, buckets.withColumn("size", F.col("n")), "key", seen).where("sid <> head")
+    pairs = mine.groupBy("sid", "head").agg(F.collect_list(F.struct("key", "size")).alias("keys")).join(classes.select("sid", "sig"), "sid")
+    pairs = join_hot(pairs, heads, "head", heads_seen).select("sid", "head", "keys", "sig", "head_sig")
+    met = map_texts(pairs, _met_heads(threshold, tolerance), "sid binary, head binary, keys array<struct<key: long, size: long>>, linked boolean")
+    met = scratch(met, "met")
+    # what its head doesn't hold is compared with the others of the bucket
+    alone, seen = measured(met.where("not linked").select("sid", F.inline("keys")).where("size > 2"), "alone", n=F.count("*"))
+    edges = met.where("linked").select(F.col("sid").alias("u"), F.col("head").alias("v"))
+    if not seen["n"]:
+        return edges
+    by = alone.groupBy("key").agg(F.count("*").alias("n_left"), F.first("size").alias("n"))
+    left, seen = measured(by, "left", total=F.sum("n"), most=F.max("n"))
+    heads_of = buckets.select("key", F.col("head").alias("sid"))
+    bucket = join_hot(keyed, left.withColumn("n_rest", F.col("n") - 1 - F.col("n_left")), "key", seen)
+    bucket = bucket.join(heads_of, ["key", "sid"], "left_anti").join(alone.select("key", "sid", F.lit(True).alias("left")), ["key", "sid"], "left")
+    rows = bucket.withColumn("left", F.coalesce("left", F.lit(False)))
+    dealt = _dealt(rows.join(classes.select("sid", "sig"), "sid"), "key", BUCKET_BLOCK).select("key", "_i", "_j", "_own", "sid", "sig")
+    return edges.unionByName(dealt.mapInArrow(_bucket_forests(threshold, tolerance), "u binary, v binary"))
 
 
 def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -348,8 +393,55 @@ def _verified(threshold: float, tolerance: float):
     return run
 
 
-def similarity_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, class_id, n_links, n_words_sets) for each row of docs.
+def _root_links(threshold: float, tolerance: float):
+    names = ["sid", "cluster", "linked"]
+
+    def run(batches):
+        least = least_matches(threshold, tolerance)
+        for batch in _units(batches, 2):
+            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            sid, cluster, raw = get("sid"), get("cluster"), get("shingles")
+            sig, is_root = _signatures(get("sig")), pc.equal(sid, cluster).to_numpy(zero_copy_only=False)
+            starts = _starts(batch, 2)
+            linked = np.zeros(batch.num_rows, bool)
+            for s, e in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist(), strict=True):
+                root, others = s + np.flatnonzero(is_root[s:e])[:1], s + np.flatnonzero(~is_root[s:e])
+                i, j = surviving(sig, np.repeat(root, len(others)), others, least)
+                if len(i):
+                    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw.slice(s, e - s)]
+                    linked[_linked(sets, i - s, j - s, threshold)[1] + s] = True
+            rest = np.flatnonzero(~is_root)
+            yield pa.RecordBatch.from_arrays([sid.take(pa.array(rest)), cluster.take(pa.array(rest)), pa.array(linked[rest])], names=names)
+
+    return run
+
+
+def _links(shingled: DataFrame, threshold: float, tolerance: float, counted: bool) -> DataFrame:
+    """(sid, links, root): parts of classes' links, and forests of them; without counting, forests are enough.
+
+    shingled: (sid, cluster, size, copies, sig, shingles), written.
+    """
+    rows = shingled.withColumns({"left": F.lit(True), "n_left": F.col("size"), "n_rest": F.lit(0).cast("long")})
+    by_root = None
+    if not counted:
+        blocks = F.ceil(F.col("size") / F.lit(CLUSTER_BLOCK)).cast("int")
+        block = F.when(F.col("sid") == F.col("cluster"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), blocks).cast("int")))
+        spread = shingled.select("cluster", F.explode(block).alias("_block"), "sid", "sig", "shingles").repartition("cluster", "_block").sortWithinPartitions("cluster", "_block")
+        met, seen = measured(spread.mapInArrow(_root_links(threshold, tolerance), "sid binary, cluster binary, linked boolean"), "rooted", alone=F.count_if(~F.col("linked")))
+        by_root = met.where("linked").select("sid", F.lit(1).cast("long").alias("links"), F.col("cluster").alias("root"))
+        if not seen["alone"]:
+            return by_root
+        alone = met.where("not linked").select("sid", "cluster")
+        left, seen = measured(alone.groupBy("cluster").agg(F.count("*").alias("n_left")).join(shingled.select("cluster", "size").distinct(), "cluster").withColumnRenamed("size", "n").where("n > 2"), "left", total=F.sum("n"), most=F.max("n"))
+        rows = shingled.where("sid <> cluster").drop("size").join(alone.select("sid", F.lit(True).alias("left")), "sid", "left")
+        rows = join_hot(rows, left.withColumn("n_rest", F.col("n") - 1 - F.col("n_left")), "cluster", seen).withColumn("left", F.coalesce("left", F.lit(False)))
+    dealt = _dealt(rows, "cluster", CLUSTER_BLOCK).select("cluster", "_i", "_j", "_own", "sid", "copies", "sig", "shingles")
+    found = dealt.mapInArrow(_verified(threshold, tolerance), "sid binary, links long, root binary")
+    return found if by_root is None else by_root.unionByName(found)
+
+
+def similarity_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, counted: bool = True) -> DataFrame:
+    """(doc_id, row, class_id, n_links, n_shingles) for each row of docs; n_links is null unless counted.
 
     class_id: the smallest doc_id of the document's group, the connected component of all pairs of at
     least `threshold`. n_links: how many other documents reach it directly. Words are runs of 0-9, A-Z
@@ -363,24 +455,25 @@ def similarity_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     classes = scratch(by_sid, "classes")
     clusters = scratch(connected_components(candidate_edges(classes, threshold, tolerance)), "clusters")
 
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("_size"))
-    members = clusters.join(sizes, "root").join(classes.select(F.col("sid").alias("node"), "copies", "one", "sig"), "node")
-    members = members.select(F.col("node").alias("sid"), F.col("root").alias("cluster"), "_size", "copies", "sig", F.coalesce("one.doc_id", F.lit(NO_ID)).alias("_doc"), F.col("one.row").alias("_row"))
+    sizes, seen = measured(clusters.groupBy("root").agg(F.count("*").alias("n")), "sizes", total=F.sum("n"), most=F.max("n"))
+    members = join_hot(clusters, sizes.withColumn("size", F.col("n")), "root", seen).join(classes.select(F.col("sid").alias("node"), "copies", "one", "sig"), "node")
+    members = members.select(F.col("node").alias("sid"), F.col("root").alias("cluster"), "size", "copies", "sig", F.coalesce("one.doc_id", F.lit(NO_ID)).alias("_doc"), F.col("one.row").alias("_row"))
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), text_hash(F.col("text").cast("string")).alias("_row"), F.col("text").cast("string").alias("text"))
-    with_text = members.join(text, ["_doc", "_row"]).select("sid", "cluster", "_size", "copies", "sig", "text").dropDuplicates(["sid"])
-    shingled = _dealt(map_texts(with_text, _shingle_column, "sid binary, cluster binary, _size long, copies long, sig binary, shingles binary"), "cluster", "_size", CLUSTER_BLOCK)
-    shingled = shingled.select("cluster", "_i", "_j", "_own", "sid", "copies", "sig", "shingles")
-    verified = scratch(shingled.mapInArrow(_verified(threshold, tolerance), "sid binary, links long, root binary"), "verified")
+    with_text = members.join(text, ["_doc", "_row"]).select("sid", "cluster", "size", "copies", "sig", "text").dropDuplicates(["sid"])
+    shingled = scratch(map_texts(with_text, _shingle_column, "sid binary, cluster binary, size long, copies long, sig binary, shingles binary"), "shingled")
+    verified = scratch(_links(shingled, threshold, tolerance, counted), "verified")
 
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
     groups = connected_components(verified.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     named = groups.join(classes.select(F.col("sid").alias("node"), "least_id"), "node")
     names = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    linked = groups.join(names, "root").select(F.col("node").alias("sid"), "class_id").join(links, "sid")
+    linked = groups.join(names, "root").select(F.col("node").alias("sid"), "class_id").join(links, "sid", "left")
     summary = classes.select("sid", "copies", "least_id").join(linked, "sid", "left")
-    summary = summary.select("sid", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0)) if counted else F.lit(None).cast("long")
+    summary = summary.select("sid", F.coalesce("class_id", "least_id").alias("class_id"), n_links.alias("n_links"))
     out = rows.select("doc_id", "row", "sid", "n").join(summary, "sid", "left")
-    return out.select("doc_id", "row", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("n").alias("n_shingles"))
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")) if counted else F.col("n_links")
+    return out.select("doc_id", "row", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), n_links.alias("n_links"), F.col("n").alias("n_shingles"))
 
 
 def _shingle_column(batches):
@@ -393,11 +486,13 @@ def _shingle_column(batches):
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """docs with one document of each group: the smallest doc_id, of rows that share it the smallest hash.
 
-    Of equal rows one stays. Documents without words all stay, but for equal rows of one doc_id.
+    Of equal rows one stays. Documents without words all stay, but for equal rows of one doc_id. Columns of
+    any name may stand beside doc_id and text.
     """
-    found = similarity_groups(docs, threshold, tolerance).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    found = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("row").alias("_row"), (F.col("n_shingles") > 0).alias("_worded"))
-    worded = found.where("_worded").groupBy("_doc").agg(F.min("_row").alias("_row"))
-    keep = worded.unionByName(found.where("not _worded").select("_doc", "_row")).distinct()
-    keyed = docs.withColumns({"_doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), "_row": text_hash(docs["text"].cast("string"))})
-    return keyed.join(keep, ["_doc", "_row"]).dropDuplicates(["_doc", "_row"]).select(*docs.columns)
+    doc, row = unused(docs, "_doc", "_row")
+    found = similarity_groups(docs, threshold, tolerance, counted=False).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    found = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(doc), F.col("row").alias(row), (F.col("n_shingles") > 0).alias("_worded"))
+    worded = found.where("_worded").groupBy(doc).agg(F.min(row).alias(row))
+    keep = worded.unionByName(found.where("not _worded").select(doc, row)).distinct()
+    keyed = docs.withColumns({doc: F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), row: text_hash(docs["text"].cast("string"))})
+    return keyed.join(keep, [doc, row]).dropDuplicates([doc, row]).select(*docs.columns)
