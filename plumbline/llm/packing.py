@@ -5,11 +5,12 @@ of input) says all that packing needs. The driver packs the histogram: it fills
 longest lengths that fit, then tries to replace the bin's smallest document with the two unpacked ones
 that fill its expanded gap most tightly. As long as no length in the bin runs out, the next bin would be
 filled alike, so a bin is placed as many times at once as its lengths last. Documents then look up their
-place by (length, rank among the documents of that length).
+place by (length, rank among the documents of that length). Full pieces fill sequences of their own.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_texts, scratch, texts
+from plumbline.llm.common import kinds_of, map_texts, scratch, texts, unused
 
 CAPACITY = 2048
-#: Rows of one length are ranked in this many independent parts, as one length may hold most rows.
-SALTS = 64
+#: Rows of one length are ranked in independent parts, each of about 1/RANKED of all rows, or this many where there are few.
+RANKED, LEAST_RANKED = 16_384, 256
 #: Words whose ids a worker remembers; the memory is emptied when full.
 CACHED_WORDS = 1_000_000
 
@@ -43,13 +44,25 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def merges_by_id(path: str) -> bool:
+    """Whether a vocabulary file lists its merges in the order of their tokens' ids, one for each token of several bytes."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    ids = [model["vocab"].get("".join(m), -1) for m in pairs]
+    names = _byte_names()
+    longer = sum(len(k) > 1 and all(c in names for c in k) for k in model["vocab"])
+    return len(ids) == longer and all(a < b for a, b in zip([-1, *ids], ids, strict=False))
+
+
 class WordCachedTokenizer:
     """ids of whole texts, from the ids of their words.
 
     A byte-level BPE never joins across a space that a non-space follows, so text is cut before each of
     these, and the ids of a piece don't depend on its neighbours. Texts that hold a special token's
     string are encoded whole. Words new to the cache go through a second encoder of the same vocabulary,
-    which has less overhead for short strings, if it agrees with the first on a probe.
+    which has less overhead for short strings and merges by id, if the file's merges stand in the order of
+    their ids, make every longer token, and both encoders agree on a probe.
     """
 
     def __init__(self, path: str):
@@ -59,7 +72,7 @@ class WordCachedTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.encode_word = self._slow_word
-        if (fast := self._second_encoder()) and all(fast(w) == self._slow_word(w) for w in _PROBE):
+        if merges_by_id(path) and (fast := self._second_encoder()) and all(fast(w) == self._slow_word(w) for w in _PROBE):
             self.encode_word = fast
 
     def _slow_word(self, word: str) -> bytes:
@@ -244,33 +257,43 @@ class _Places:
 
 
 def best_two_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset. `pieces` is read twice: give a written table.
+    """pieces with sequence_id and offset. `pieces` is read three times: give a written table.
 
     It needs the columns doc_id, piece, length, ids_crc32; equal rows may swap places. An empty table
-    gives an empty result. Lengths must lie between 1 and the capacity.
+    gives an empty result. Lengths must lie between 1 and the capacity. A piece of full length has a
+    sequence of its own, of a negative id, and isn't shuffled.
     """
     spark = pieces.sparkSession
     columns = pieces.columns
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # at most capacity * SALTS rows, whatever the input
-    counts = [(int(r[0]), int(r[1]), int(r[2])) for r in salted.groupBy("length", "_salt").count().collect()]
+    parts, salt, rank = unused(pieces, "_parts", "_salt", "_rank")
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    shorter = pieces.where(F.col("length") < capacity)
+    sizes = [(int(r[0]), int(r[1])) for r in shorter.groupBy("length").count().collect()]  # at most `capacity` rows
+    each = max(LEAST_RANKED, sum(n for _, n in sizes) // RANKED)
+    wide = spark.createDataFrame([(length, -(-n // each)) for length, n in sizes], f"length long, {parts} int")
+    salted = shorter.join(F.broadcast(wide.withColumn("length", F.col("length").cast(pieces.schema["length"].dataType))), "length")
+    salted = salted.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col(parts)).cast("int").alias(salt))
+    # at most capacity + RANKED rows, whatever the input
+    counts = [(int(r[0]), int(r[1]), int(r[2])) for r in salted.groupBy("length", salt).count().collect()]
     places = spark.sparkContext.broadcast(_Places(counts, capacity))
-    by = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(by) - 1)
+    by = Window.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32")
+    ranked = salted.withColumn(rank, F.row_number().over(by) - 1)
 
     def run(batches):
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            sequence, offset = places.value.look_up(get("length"), get("_salt"), get("_rank"))
+            sequence, offset = places.value.look_up(get("length"), get(salt), get(rank))
             kept = [batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return map_texts(ranked, run, kinds)
+    return map_texts(ranked, run, f"{kinds_of(pieces, columns)}sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0, keep_ids: bool = False) -> DataFrame:
-    """All documents' pieces and their places: token_pieces, written once, then best_two_fit."""
+    """All documents' pieces and their places: token_pieces, written once, then best_two_fit.
+
+    Only doc_id and text of docs are used, so other columns of any name may stand beside them.
+    """
     return best_two_fit(scratch(token_pieces(docs, tokenizer_path, capacity, separator, keep_ids), "pieces"), capacity)
 
 
