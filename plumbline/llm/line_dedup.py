@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NO_ID, map_texts, scratch, slices, text_hash, texts
+from plumbline.llm.common import NO_ID, kinds_of, map_texts, scratch, slices, text_hash, texts, unused, without
 
 BLANK = " \t\n\x0b\x0c\r"
 #: h1, h2: the key's hash; doc, row: the document; n: its lines; pos: the line's place.
@@ -149,28 +149,31 @@ def kept_lines(text: str, keep: bytes | None) -> tuple[str, int, int]:
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs, each with its bitmap as `_keep` (null: all lines stay)."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, name: str = "_keep") -> DataFrame:
+    """docs, each with its bitmap under `name` (null: all lines stay), which must be no column's name."""
+    keys = unused(docs, "_doc", "_row", name)[:2]
     doc, row = _row_id()
-    keyed = docs.withColumns({"_doc": doc, "_row": row})
-    on = (F.col("_doc") == bitmaps["doc"]) & (F.col("_row") == bitmaps["row"])
-    return keyed.join(bitmaps, on, "left").select(*[docs[c] for c in docs.columns], bitmaps["keep"].alias("_keep"))
+    found = bitmaps.select(F.col("doc").alias(keys[0]), F.col("row").alias(keys[1]), F.col("keep").alias(name))
+    keyed = docs.withColumns({keys[0]: doc, keys[1]: row})
+    return keyed.join(found, keys, "left").select(*docs.columns, name)
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with `text` rid of the lines that keep_bitmaps drops, and n_lines and n_dropped (long).
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts: bool = True) -> DataFrame:
+    """docs with `text` rid of the lines that keep_bitmaps drops, and n_lines and n_dropped (long) if counts.
 
-    Null and empty texts are one empty line, which is too short to go; null becomes empty.
+    Null and empty texts are one empty line, which is too short to go; null becomes empty. The counts
+    replace columns of their names; no other name clashes.
     """
-    joined = apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
-    others = [c for c in docs.columns if c != "text"]
+    (keep,) = unused(docs, "_keep")
+    joined = apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), keep)
+    others = without(docs, "text", *["n_lines", "n_dropped"] * counts)
 
     def run(batches):
         for batch in slices(batches):
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            done = [kept_lines(t, k) for t, k in zip(texts(get("text")), get("_keep").to_pylist(), strict=True)]
+            done = [kept_lines(t, k) for t, k in zip(texts(batch.column(len(others))), batch.column(len(others) + 1).to_pylist(), strict=True)]
             text, n, dropped = zip(*done, strict=True) if done else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*[get(c) for c in others], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*others, "text", "n_lines", "n_dropped"])
+            more = [pa.array(n, pa.int64()), pa.array(dropped, pa.int64())] * counts
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(others))], pa.array(text, pa.string()), *more], names=[*others, "text", *["n_lines", "n_dropped"] * counts])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return map_texts(joined, run, f"{kinds}{', ' if kinds else ''}text string, n_lines long, n_dropped long")
+    kinds = f"{kinds_of(docs, others)}text string" + ", n_lines long, n_dropped long" * counts
+    return map_texts(joined.select(*others, F.col("text").cast("string"), keep), run, kinds)
