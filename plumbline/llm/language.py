@@ -1,22 +1,23 @@
 """Language by hierarchical discrimination: the family first, then the languages within it.
 
 Texts become counts of hashed byte n-grams. One-versus-one linear support vector machines tell families
-apart, and others the languages of each family. Both levels are fitted on the driver from a bounded
-sample of labelled rows, by dual coordinate descent.
+apart, and others the languages of each family. One task fits both levels from a bounded sample of labelled
+rows, by dual coordinate descent.
 """
 
 from __future__ import annotations
 
-import re
+import pickle
+import unicodedata
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_texts, mix, row_groups, texts, utf8_view
+from plumbline.llm.common import kinds_of, map_texts, mix, row_groups, slices, texts, unused, utf8_view, without
 
 #: Families of common languages; another code is a family of its own (fixed values).
 FAMILIES = {
@@ -26,14 +27,18 @@ FAMILIES = {
     "uralic": ("fi", "et", "hu"),
 }
 BITS = 13
-#: Labelled rows of each language that are learned from, at most: the first by a hash of id and text.
-SAMPLE = 500
+#: Labelled rows of each language that are learned from, at most: the first by a hash of the text; and of all languages.
+SAMPLE, SAMPLE_OF_ALL = 500, 10_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of one of Unicode's letter categories, as \\p{L} says in training."""
+    return any(unicodedata.category(c)[0] == "L" for c in text)
+
+
 def family_of(language: str) -> str:
     return next((k for k, v in FAMILIES.items() if language in v), language)
 
@@ -122,55 +127,56 @@ class LanguageModel:
         return language, score
 
 
-def fit_languages(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> LanguageModel | None:
+def fit_languages(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, of_all: int = SAMPLE_OF_ALL) -> LanguageModel | None:
     """From rows with text, a letter and lang; None if there are none.
 
-    At most `sample` rows of each language reach the driver. Repeated rows count each time.
+    Learned from are at most `sample` texts of each language, the first by a hash, and of these at most
+    `of_all`, in turn from all languages. Rows of one text and language count once.
     """
-    spark = docs.sparkSession
     keyed = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     keyed = keyed.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_h", F.xxhash64("text"))
-    languages = [r[0] for r in keyed.groupBy("lang").count().orderBy("lang").collect()]
-    if not languages:
-        return None
-    light = keyed.select("lang", "_h")
-    picked = [(name, r[0]) for name in languages for r in light.where(F.col("lang") == name).select("_h").distinct().orderBy("_h").limit(sample).collect()]
-    chosen = spark.createDataFrame(picked, "lang string, _h long")  # bounded: sample * languages
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    chosen = keyed.select("lang", "_h").distinct().withColumn("_r", rank).where(F.col("_r") <= sample).orderBy("_r", "lang").limit(of_all)
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                x = profiles(*utf8_view(part.column(1)), bits).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
+        for part in slices(batches):
+            x = profiles(*utf8_view(part.column(1)), bits).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
+
+    def fit(batches):
+        found = [(batch.column(0).to_pylist(), np.stack([np.frombuffer(r, np.float16) for r in batch.column(1).to_pylist()])) for batch in batches if batch.num_rows]
+        if not found:
+            return
+        x, labels = np.concatenate([f[1] for f in found]).astype(np.float32), np.array([name for f in found for name in f[0]])
+        family = np.array([family_of(v) for v in labels.tolist()])
+        within = {name: OneVersusOne.fit(x[family == name], labels[family == name]) for name in sorted(set(family.tolist()))}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(LanguageModel(OneVersusOne.fit(x, family), within))], pa.binary())], names=["model"])
 
     found = keyed.join(F.broadcast(chosen), ["lang", "_h"]).select("lang", "text", "_h").dropDuplicates(["lang", "_h"])
-    rows = found.mapInArrow(run, "lang string, h long, x binary").orderBy("lang", "h").limit(sample * len(languages)).toArrow()
-    x = np.stack([np.frombuffer(r, np.float16) for r in rows.column("x").to_pylist()]).astype(np.float32)
-    labels = np.array(rows.column("lang").to_pylist())
-    family = np.array([family_of(v) for v in labels.tolist()])
-    within = {name: OneVersusOne.fit(x[family == name], labels[family == name]) for name in sorted(set(family.tolist()))}
-    return LanguageModel(OneVersusOne.fit(x, family), within)
+    rows = map_texts(found, run, "lang string, h long, x binary").orderBy("lang", "h").limit(of_all).select("lang", "x")
+    model = map_texts(rows, fit, "model binary").first()
+    return None if model is None else pickle.loads(model["model"])
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel | None, bits: int = BITS) -> DataFrame:
-    """docs with lang_pred and lang_score, from whole texts. `und`, score 0: null, empty or no letter, or no model."""
+    """docs with lang_pred and lang_score, from whole texts. `und`, score 0: null, empty or no letter, or no model.
+
+    Columns of these two names are replaced; no other name clashes. Repeated rows are each answered.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
+    columns = without(docs, "lang_pred", "lang_score")
+    (own,) = unused(docs, "_text")
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                text = part.column(part.schema.get_field_index("_text"))
-                letters = [bool(_LETTER.search(t)) for t in texts(text)]
-                if shared.value is None:
-                    language, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                else:
-                    language, score = shared.value.predict(profiles(*utf8_view(text), bits))
-                language = [v if has else UNKNOWN for v, has in zip(language, letters, strict=True)]
-                kept = [part.column(c) for c in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(language, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], names=[*columns, "lang_pred", "lang_score"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_texts(docs.withColumn("_text", F.col("text").cast("string")), run, f"{kinds}, lang_pred string, lang_score double")
+        for part in slices(batches):
+            text = part.column(len(columns))
+            letters = [has_letter(t) for t in texts(text)]
+            if shared.value is None:
+                language, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+            else:
+                language, score = shared.value.predict(profiles(*utf8_view(text), bits))
+            language = [v if has else UNKNOWN for v, has in zip(language, letters, strict=True)]
+            kept = [part.column(c) for c in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(language, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], names=[*columns, "lang_pred", "lang_score"])
+
+    return map_texts(docs.select(*columns, F.col("text").cast("string").alias(own)), run, f"{kinds_of(docs, columns)}lang_pred string, lang_score double")
