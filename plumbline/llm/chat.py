@@ -76,29 +76,48 @@ class Template:
 
 
 def pointers(edges: DataFrame) -> list[DataFrame]:
-    """[(tree, id, up)] where up is the ancestor 1, 2, 4, ... messages above. edges: (tree, id, up)."""
+    """[(tree, id, up, total)] where up is the ancestor 1, 2, 4, ... messages above, and total their scores' sum.
+
+    edges: (tree, id, up, total) of messages and their parents.
+    """
     out = [scratch(edges, "up")]
     while True:
         last = out[-1]
-        up = last.select("tree", F.col("id").alias("up"), F.col("up").alias("far"))
-        wider = scratch(last.join(up, ["tree", "up"]).select("tree", "id", F.col("far").alias("up")), "up")
+        up = last.select("tree", F.col("id").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"))
+        wider = scratch(last.join(up, ["tree", "up"]).select("tree", "id", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total")), "up")
         if wider.isEmpty():
             return out
         out.append(wider)
 
 
-def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
+def _pointers(messages: DataFrame) -> list[DataFrame]:
+    known = messages.select("tree", F.col("id").alias("up"), F.col("score").alias("total"))
+    return pointers(messages.where("parent is not null").select("tree", "id", F.col("parent").alias("up")).join(known, ["tree", "up"]).select("tree", "id", "up", "total"))
+
+
+def leaf_scores(messages: DataFrame, ups: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, score): the mean score of the messages from each leaf up to its root, a row a leaf at every step."""
+    parents = ups[0].select("tree", F.col("up").alias("id")).distinct()
+    at = messages.select("tree", F.col("id").alias("leaf"), "id", F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")).join(parents, ["tree", "id"], "left_anti")
+    for k in range(len(ups) - 1, -1, -1):
+        jump = at.join(ups[k], ["tree", "id"], "left")
+        n = F.col("n") + F.when(F.col("up").isNull(), 0).otherwise(1 << k)
+        at = jump.select("tree", "leaf", F.coalesce("up", "id").alias("id"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"), n.alias("n"))
+    return scratch(at.select("tree", "leaf", (F.col("sum") / F.col("n")).alias("score")), "leaves")
+
+
+def root_to_leaf_paths(messages: DataFrame, ups: list[DataFrame] | None = None, leaves: DataFrame | None = None) -> DataFrame:
     """(tree, leaf, id, distance): each leaf with all messages from it (0) up to its root.
 
-    messages: (tree, id, parent), where (tree, id) is unique and none is null but parent. A parent that
+    messages: (tree, id, parent, score), where (tree, id) is unique and none is null but parent. A parent that
     is missing makes a root; messages that answer each other in a circle have no leaf and give no path.
+    leaves: (tree, leaf) of the paths that are wanted, all by default.
     """
-    known = messages.select("tree", F.col("id").alias("up"))
-    edges = messages.where("parent is not null").select("tree", "id", F.col("parent").alias("up")).join(known, ["tree", "up"]).select("tree", "id", "up")
-    ups = pointers(edges)
-    parents = ups[0].select("tree", F.col("up").alias("id")).distinct()
-    paths = messages.select("tree", "id").join(parents, ["tree", "id"], "left_anti")
-    paths = paths.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("distance"))
+    ups = ups or _pointers(messages)
+    if leaves is None:
+        parents = ups[0].select("tree", F.col("up").alias("id")).distinct()
+        leaves = messages.select("tree", "id").join(parents, ["tree", "id"], "left_anti").withColumnRenamed("id", "leaf")
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("distance"))
     for k in range(len(ups) - 1, -1, -1):
         above = paths.join(ups[k], ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("distance") + (1 << k)).alias("distance"))
         paths = scratch(paths.unionByName(above), "paths")
@@ -109,15 +128,16 @@ def format_trees(messages: DataFrame, branches: int = 1, template: Template | No
     """(tree, leaf, rank, score, n_turns, formatted, loss) of each tree's `branches` best paths.
 
     messages: (tree, id, parent, role, text, score). Null roles and texts are empty, null scores 0. Of
-    paths with equal scores the smaller leaf comes first. loss: array<struct<start, end>>, code points.
+    paths with equal scores the smaller leaf comes first; a path's score is its messages' mean. Only the
+    best paths are enumerated. loss: array<struct<start, end>>, code points.
     """
     template = template or Template()
     m = messages.select("tree", "id", "parent", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     m = scratch(m, "messages")
-    paths = root_to_leaf_paths(m)
-    scored = paths.join(m.select("tree", "id", "score"), ["tree", "id"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    ups = _pointers(m)
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
+    best = leaf_scores(m, ups).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
+    paths = root_to_leaf_paths(m, ups, best.select("tree", "leaf"))
     chosen = paths.join(best, ["tree", "leaf"]).join(m.select("tree", "id", "role", "text"), ["tree", "id"])
     turn = F.struct((-F.col("distance")).alias("at"), "role", "text")
     whole = chosen.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
