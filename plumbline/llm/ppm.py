@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_texts, mix, row_groups, scratch, slices, utf8_view
+from plumbline.llm.common import kinds_of, map_texts, mix, row_groups, scratch, slices, unused, utf8_view, without
 
 ORDER = 5
 #: Most frequent grams whose code lengths workers hold; the others' come by a join.
@@ -370,17 +370,17 @@ RARE = "array<struct<gram: long, n: long>>"
 
 
 def score_texts(docs: DataFrame, trie: PpmTrie) -> DataFrame:
-    """docs with ppm_log10, of the whole text; null is empty."""
+    """docs with ppm_log10, of the whole text; null is empty. A column of that name is replaced; no other name clashes."""
     scorer = TextScorer(docs.sparkSession, trie)
-    columns = docs.columns
+    columns = without(docs, "ppm_log10")
+    text, head, rare_name, own = unused(docs, "_text", "_head", "_rare", "_id")
 
     def run(batches):
         for batch in slices(batches):
-            scores, rare = scorer.head(batch.column(batch.schema.get_field_index("_text")))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], scores, rare], names=[*columns, "_head", "_rare"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    found = map_texts(docs.withColumn("_text", F.col("text").cast("string")), run, f"{kinds}, _head double, _rare {RARE}")
-    found = scratch(found.withColumn("_id", F.monotonically_increasing_id()), "ppm")  # written, so the ids stay
-    tails = scorer.tails(found.select("_id", F.inline("_rare")))
-    return found.join(tails, "_id", "left").select(*columns, (F.col("_head") + F.coalesce("tail", F.lit(0.0))).alias("ppm_log10"))
+            scores, rare = scorer.head(batch.column(len(columns)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], scores, rare], names=[*columns, head, rare_name])
+
+    found = map_texts(docs.select(*columns, F.col("text").cast("string").alias(text)), run, f"{kinds_of(docs, columns)}`{head}` double, `{rare_name}` {RARE}")
+    found = scratch(found.withColumn(own, F.monotonically_increasing_id()), "ppm")  # written, so the ids stay
+    tails = scorer.tails(found.select(F.col(own).alias("_id"), F.inline(rare_name))).select(F.col("_id").alias(own), F.col("tail").alias(text))
+    return found.join(tails, own, "left").select(*columns, (F.col(head) + F.coalesce(text, F.lit(0.0))).alias("ppm_log10"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch
+from plumbline.llm.common import measured, scratch
 
 PIVOTS = 24
 #: Queries broadcast at once: at most this many vectors, whatever the input.
@@ -39,7 +39,7 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _search(q_ids, q, q_table, q_norm, x_ids, x, x_table, x_norm, k, best):
-    """Brings best, [(scores, ids)] of each query, up to date with a block of candidates."""
+    """Brings best, [(scores, ids)] of each query, up to date with a block of candidates; each row is one."""
     for i in range(len(q_ids)):
         scores, ids = best[i]
         lower = np.abs(x_table - q_table[i]).max(axis=1)
@@ -57,10 +57,8 @@ def _search(q_ids, q, q_table, q_norm, x_ids, x, x_table, x_norm, k, best):
             if not len(part) or len(scores) >= k and upper[part[0]] < scores[k - 1]:
                 break
             scores, ids = np.concatenate([scores, x[part] @ q[i]]), np.concatenate([ids, x_ids[part]])
-            order_now = np.lexsort((ids, -scores))
+            order_now = np.lexsort((ids, -scores))[:k]
             scores, ids = scores[order_now], ids[order_now]
-            new = np.concatenate([[True], (np.diff(scores) != 0) | (np.diff(ids) != 0)])  # repeated rows count once
-            scores, ids = scores[new][:k], ids[new][:k]
         best[i] = scores, ids
 
 
@@ -68,12 +66,14 @@ def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int
     """(query_id, rank, vec_id, score): each query's k best of all vectors but those of its own id.
 
     vectors, queries: (vec_id, v array<long>). Ties go to the smaller vec_id; fewer than k candidates
-    give fewer rows. Vectors of another dimension than the query's are no candidates of it. A vec_id that
-    repeats is a candidate each time it occurs, but of equal (query_id, vec_id, score) one row stays.
-    Products must stay below 2**53.
+    give fewer rows. Vectors of another dimension than the query's are no candidates of it. Each row is a
+    candidate, so a vec_id that repeats takes a rank each time; of queries equal in id and vector one is asked.
+    Sums of squares must stay below 2**53, where doubles are whole; a longer vector is an error.
     """
     spark = vectors.sparkSession
-    vectors = scratch(vectors, "vectors")
+    vectors, seen = measured(vectors, "vectors", longest=F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
+    if (seen["longest"] or 0) >= 2.0**53:
+        raise ValueError("a vector's square is 2**53 or more: divide the vectors")
     # the pivots: a bounded sample, the first by a hash of the id
     chosen = [np.array(r[0], np.float64) for r in vectors.orderBy(F.xxhash64("vec_id"), "v").limit(pivots).select("v").collect()]
     n = queries.count()
@@ -96,7 +96,7 @@ def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int
     for more in parts[1:]:
         found = found.unionByName(more)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
