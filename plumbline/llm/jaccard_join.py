@@ -37,7 +37,7 @@ VALUES = BANDS * ROWS
 #: Values compared between two looks at the posterior, and the probability at which a pair goes.
 STEP, TOLERANCE = 30, 1e-6
 #: Classes in a block of candidates, and in a block that is verified.
-BUCKET_BLOCK, CLUSTER_BLOCK = 512, 192
+BUCKET_BLOCK, CLUSTER_BLOCK = 512, 128
 
 #: 0-9, a-z and all bytes beyond ASCII make words; A-Z count as a-z.
 _WORD = np.zeros(256, bool)
@@ -470,10 +470,11 @@ def similarity_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     linked = groups.join(names, "root").select(F.col("node").alias("sid"), "class_id").join(links, "sid", "left")
     summary = classes.select("sid", "copies", "least_id").join(linked, "sid", "left")
     n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0)) if counted else F.lit(None).cast("long")
-    summary = summary.select("sid", F.coalesce("class_id", "least_id").alias("class_id"), n_links.alias("n_links"))
-    out = rows.select("doc_id", "row", "sid", "n").join(summary, "sid", "left")
-    n_links = F.coalesce("n_links", F.lit(0).cast("long")) if counted else F.col("n_links")
-    return out.select("doc_id", "row", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), n_links.alias("n_links"), F.col("n").alias("n_shingles"))
+    summary = summary.select("sid", F.coalesce("class_id", "least_id").alias("class_id"), n_links.alias("n_links"), F.col("copies").alias("n"))
+    summary, seen = measured(summary, "summary", total=F.sum("n"), most=F.max("n"))
+    named = join_hot(rows.where("n > 0").select("doc_id", "row", "sid", F.col("n").alias("n_shingles")), summary, "sid", seen)
+    wordless = rows.where("n = 0").select("sid", "doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(0 if counted else None).cast("long").alias("n_links"))
+    return named.unionByName(wordless).select("doc_id", "row", "class_id", "n_links", "n_shingles")
 
 
 def _shingle_column(batches):
