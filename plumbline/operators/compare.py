@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import metrics
 
-#: The reference's bootstrap metrics.
+#: The metrics of a whole bootstrap.
 WHOLE = ("average_precision", "log_loss", "brier", "gauc_events", "gauc_users")
 
 
@@ -17,13 +17,26 @@ def contrast(metrics: DataFrame, keys: list[str], a: str, b: str, names: list[st
     return metrics.groupBy(*keys).agg(*[(of(c, a) - of(c, b)).alias(c) for c in names])
 
 
+def ranked_users(users: DataFrame, parts: int = 64) -> tuple[DataFrame, int]:
+    """(user_id, _r) from 0 in order, and their number. Ranks are taken within ranges of user_id and added up, so no task has all users."""
+    cuts = sorted({int(c) for c in users.stat.approxQuantile("user_id", [k / parts for k in range(1, parts)], 0.002)})  # fewer than `parts` numbers
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("user_id")))
+    placed = users.withColumn("_part", part)
+    sizes = {r[0]: r[1] for r in placed.groupBy("_part").count().collect()}
+    before, total = {}, 0
+    for k in sorted(sizes):
+        before[k], total = total, total + sizes[k]
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part")) if before else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("user_id")) - 1
+    return placed.withColumn("_r", (inside + offset).cast("long")).drop("_part"), total
+
+
 def draws(users: DataFrame, replicates: int, seed: str) -> DataFrame:
     """(replicate, user_id, times): users drawn with replacement, by a digest of seed, replicate and draw.
 
     users: (user_id); their ranks are the draws' targets, so results don't depend on partitioning.
     """
-    n = users.count()
-    ranked = users.withColumn("_r", F.row_number().over(Window.orderBy("user_id")) - 1)
+    ranked, n = ranked_users(users)
     spark = users.sparkSession
     all_draws = spark.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("_t"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("replicate"), F.col("_t")))

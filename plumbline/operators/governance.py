@@ -1,11 +1,12 @@
-"""Policy decisions, budgets, idempotency, phases, evidence admission, gates and claims as relations."""
+"""Policy decisions, budgets, idempotency, phases, gates and claims as relations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.checks import TIERS, escapes, first_failure, holds, is_digest, same_set, tier_rank
+from plumbline.functions.checks import TIERS, first_failure, holds, same_set, tier_rank
+from plumbline.functions.folds import fold
 
 WRITES = ("write_run_artifact", "publish", "rollback")
 #: Allowed phase changes (fixed values).
@@ -67,25 +68,40 @@ def budget(calls: DataFrame, steps: int, skill_calls: int, writes: int, sealed:
 
 
 def idempotency(calls: DataFrame) -> DataFrame:
-    """calls with `outcome`: executed, cached (same key and fingerprint as before) or IDEMPOTENCY_KEY_CONFLICT."""
-    by = Window.partitionBy("run", "key").orderBy("seq")
-    first = F.first("fingerprint").over(by)
-    outcome = F.when(F.row_number().over(by) == 1, "executed").when(first.eqNullSafe(F.col("fingerprint")), "cached").otherwise("IDEMPOTENCY_KEY_CONFLICT")
+    """calls with `outcome`: rejected, executed, cached (same key and fingerprint as an executed call's) or IDEMPOTENCY_KEY_CONFLICT.
+
+    calls: (run, seq, key, fingerprint, rejected). A key is bound by the first of its calls that isn't rejected
+    before it reaches execution; a rejected call neither binds nor is answered. Budgets, which make this
+    depend on other keys, are executor.invoke's.
+    """
+    by = Window.partitionBy("run", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    reached = ~F.coalesce(F.col("rejected"), F.lit(True))
+    bound = F.min_by(F.when(reached, F.struct("fingerprint")), F.when(reached, F.col("seq"))).over(by)
+    outcome = F.when(~reached, "rejected").when(bound.isNull(), "executed").when(bound["fingerprint"].eqNullSafe(F.col("fingerprint")), "cached").otherwise("IDEMPOTENCY_KEY_CONFLICT")
     return calls.withColumn("outcome", outcome)
 
 
-def phase_edges(spark) -> DataFrame:
+def phase_edges() -> set[tuple[str, str]]:
     chain = [*zip(PHASES, PHASES[1:], strict=False), ("claims_reviewed", "waiting_for_evidence"), ("claims_reviewed", "waiting_for_approval"), ("waiting_for_approval", "released"), ("released", "rolled_back")]
-    stops = [(p, t) for p in PHASES for t in ("blocked", "failed")]
-    return spark.createDataFrame([*chain, *stops], "from_phase string, to_phase string")
+    return {*chain, *((p, t) for p in (*PHASES, "waiting_for_approval") for t in ("blocked", "failed"))}
 
 
 def transitions(events: DataFrame) -> DataFrame:
-    """events (run, seq, to_phase) with from_phase and valid: the edge from the phase before exists."""
-    by = Window.partitionBy("run").orderBy("seq")
-    e = events.withColumn("from_phase", F.lag("to_phase", 1, "created").over(by))
-    edges = phase_edges(events.sparkSession).withColumn("_ok", F.lit(True))
-    return e.join(F.broadcast(edges), ["from_phase", "to_phase"], "left").withColumn("valid", holds(F.col("_ok"))).drop("_ok")
+    """events (run, seq, to_phase, reason) with from_phase, valid and terminal_reason: a run moves along edges only.
+
+    An edge that doesn't exist leaves the run where it is, so what follows is judged from there. The reason is
+    kept for terminal phases alone.
+    """
+    edges = phase_edges()
+
+    def step(state, row):
+        came, to = state[0], row["to_phase"]
+        if (came, to) not in edges:
+            return came, False, state[1]
+        state[:] = [to, row["reason"] if to in TERMINAL else None]
+        return came, True, state[1]
+
+    return fold(events, "run", ["seq"], lambda: ["created", None], step, "from_phase string, valid boolean, terminal_reason string")
 
 
 def dependencies(tasks: DataFrame, results: DataFrame) -> DataFrame:
@@ -106,10 +122,50 @@ def highest_tier(evidence: DataFrame, keys: list[str]) -> DataFrame:
     return evidence.groupBy(*keys).agg(F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.coalesce(rank, F.lit(0)) + 1).alias("tier"))
 
 
+#: What may not be claimed, whatever the evidence; what is always true; what each tier lacks and adds (fixed values).
+FORBIDDEN = ("online causal lift", "arbitrary-policy off-policy evaluation", "full-catalog retrieval quality", "long-sequence superiority without paired predictions", "GPU speedup without a matched benchmark")
+ALLOWED = ("The deterministic workflow enforced policy and produced hash-addressed run artifacts.", "Missing research evidence is explicit and blocks scientific release.")
+LACKING = {"none": ("Agent-admissible model-comparison predictions", "frozen gate verdicts", "complete GPU experiment provenance"), "train_only": ("Validation evidence", "sealed-test evidence")}
+ALLOWED_AT = {"train_only": "Verified Train-only evidence is exploratory within its registered scope."}
+ALLOWED_ABOVE = "The offline candidate may be described only within its verified scope and gates."
+
+
 def claims(tiers: DataFrame) -> DataFrame:
-    """tiers with the number of missing evidence texts and of forbidden claims at that tier."""
-    rank = tier_rank(F.col("tier"))
-    return tiers.withColumns({"missing": F.when(rank < 2, 3).when(rank == 2, 2).otherwise(0), "forbidden": F.lit(5)})
+    """tiers with the arrays `allowed`, `missing` and `forbidden` of texts at that tier; an unknown tier counts as none."""
+    texts = lambda x: F.array(*[F.lit(t) for t in x]).cast("array<string>")
+    tier = F.when(tier_rank(F.col("tier")).isNull(), "none").otherwise(F.col("tier"))
+    missing, more = F.lit(None), F.lit(None)
+    for name, lacks in LACKING.items():
+        missing = F.when(tier == name, texts(lacks)).otherwise(missing)
+        more = F.when(tier == name, F.array(F.lit(ALLOWED_AT[name])) if name in ALLOWED_AT else texts(())).otherwise(more)
+    missing = F.coalesce(missing.cast("array<string>"), texts(()))
+    more = F.coalesce(more.cast("array<string>"), F.array(F.lit(ALLOWED_ABOVE)))
+    return tiers.withColumns({"allowed": F.concat(texts(ALLOWED), more), "missing": missing, "forbidden": texts(FORBIDDEN)})
+
+
+def claim_rows(tiers: DataFrame) -> DataFrame:
+    """tiers, a row for each text: kind (allowed, missing, forbidden), place and text."""
+    c = claims(tiers)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("texts")) for k in ("allowed", "missing", "forbidden")])
+    each = c.select(*tiers.columns, F.inline(kinds))
+    return each.select(*tiers.columns, "kind", F.posexplode("texts").alias("place", "text"))
+
+
+#: Feature families with their examples and the rule of what they may see (fixed values).
+FAMILIES = (
+    ("static_intrinsic", "model_contract_candidate", ("author_id_category", "video_duration_state", "tag_tokens"), "intrinsic metadata only"),
+    ("strict_statistical_history", None, ("prior_event_count", "prior_long_view_count", "recent_10_rate"), "completed user-time batches strictly before target_time"),
+    ("short_sequence", "not_run", ("last_k_event_embeddings", "masked_time_gaps"), "strict prefix; no target feedback"),
+    ("long_sequence", "not_run", ("hierarchical_sequence_encoder", "long_horizon_interest_state"), "strict prefix; same target manifest as baselines"),
+)
+HISTORY_STATUS = {True: "train_only_gpu_snapshot_available_pending_agent_admission", False: "repair_evidence_required"}
+
+
+def feature_specs(statuses: DataFrame) -> DataFrame:
+    """statuses (with gpu_experiment_completed) by feature family: availability, examples and point_in_time_rule."""
+    history = F.when(holds(F.col("gpu_experiment_completed")), HISTORY_STATUS[True]).otherwise(HISTORY_STATUS[False])
+    one = lambda n, a, e, r: F.struct(F.lit(n).alias("feature_family"), (F.lit(a) if a else history).alias("availability"), F.array(*[F.lit(x) for x in e]).alias("examples"), F.lit(r).alias("point_in_time_rule"))
+    return statuses.select("*", F.inline(F.array(*[one(*f) for f in FAMILIES])))
 
 
 def gates(required: list[str], evidence: DataFrame) -> DataFrame:
@@ -135,90 +191,3 @@ def boundary(policies: DataFrame, keys: list[str]) -> DataFrame:
     """policies with the keys that aren't literally false; a missing one violates."""
     bad = F.array(*[F.when(~F.col(k).eqNullSafe(F.lit(False)), F.lit(k)) for k in keys])
     return policies.withColumn("violations", F.filter(bad, lambda x: x.isNotNull()))
-
-
-def admit(evidence: DataFrame) -> DataFrame:
-    """evidence with `reason`, by the stricter admission rules: what is missing or 0 rejects.
-
-    Columns: status, claim_eligible, provider, allowed_providers, expected and provenance (maps), scope
-    and requested (maps of dataset, task, split, target), tier, models, required_models, artifacts
-    (array<struct<size_bytes, sha256>>), max_artifacts, max_bytes.
-    """
-    c = F.col
-    unverified = F.coalesce(c("status") != "verified", F.lit(True))
-    eligible = holds(c("claim_eligible"))
-    names = F.map_keys("expected")
-    frozen = (F.size(names) > 0) & F.forall(names, lambda k: is_digest(F.try_element_at(c("expected"), k)))
-    same = F.forall(names, lambda k: F.try_element_at(c("expected"), k).eqNullSafe(F.try_element_at(c("provenance"), k)))
-    scope = F.forall(F.array(*[F.lit(x) for x in ("dataset", "task", "split", "target")]), lambda k: holds(F.try_element_at(c("scope"), k) == F.try_element_at(c("requested"), k)))
-    split = F.try_element_at(c("requested"), F.lit("split"))
-    tier_of = F.when(split == "train", "train_only").when(split == "validation", "validation").when(split == "test", "sealed_test")
-    total = F.aggregate("artifacts", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["size_bytes"], F.lit(0)))
-    over = (F.size("artifacts") > F.coalesce(c("max_artifacts"), F.lit(0))) | (total > F.coalesce(c("max_bytes"), F.lit(0)))
-    invalid = F.exists("artifacts", lambda x: F.coalesce(x["size_bytes"] <= 0, F.lit(True)) | ~is_digest(x["sha256"]))
-    reason = F.when(unverified & eligible, "NONVERIFIED_EVIDENCE_CLAIM_ELIGIBLE").when(unverified, "NONSCIENTIFIC_EVIDENCE_RECORDED")
-    checks = [
-        (~F.array_contains("allowed_providers", c("provider")), "EVIDENCE_PROVIDER_NOT_ALLOWED"),
-        (~frozen, "EVIDENCE_EXPECTATIONS_NOT_FROZEN"),
-        (~same, "EVIDENCE_PROVENANCE_MISMATCH"),
-        (~scope, "EVIDENCE_SCOPE_MISMATCH"),
-        (tier_of.isNull() | (c("tier") != tier_of), "EVIDENCE_TIER_SCOPE_MISMATCH"),
-        ((F.size("required_models") == 0) | (F.size(F.array_except("required_models", "models")) > 0), "MODEL_SET_SCOPE_MISMATCH"),
-        (F.size("artifacts") <= 0, "ARTIFACT_SET_EMPTY"),
-        (over, "EVIDENCE_ARTIFACT_BUDGET_EXCEEDED"),
-        (invalid, "EVIDENCE_ARTIFACT_REFERENCE_INVALID"),
-    ]
-    return evidence.withColumn("reason", F.coalesce(reason, first_failure(checks, "EVIDENCE_ADMITTED")))
-
-
-def artifact_failure(a: Column) -> Column:
-    """Of one manifest entry, in order: schema, path, existence, size, digest; null if none."""
-    size = a["size_bytes"].try_cast("long")
-    return (
-        F.when(a["path"].isNull() | a["size_bytes"].isNull() | a["sha256"].isNull(), "ARTIFACT_SCHEMA_INVALID")
-        .when(escapes(a["path"]), "ARTIFACT_PATH_ESCAPE")
-        .when(a["found_size"].isNull(), "ARTIFACT_NOT_FOUND")
-        .when(size != a["found_size"], "ARTIFACT_SIZE_MISMATCH")
-        .when(a["sha256"] != F.coalesce(a["found_sha256"], F.lit("")), "ARTIFACT_HASH_MISMATCH")
-    )
-
-
-def verify_manifests(m: DataFrame) -> DataFrame:
-    """Manifests with `reason`: EVIDENCE_VERIFIED or the first of 32 ordered checks that fails."""
-    c = F.col
-    hashes = F.map_keys("expected")
-    paired = holds(c("requested_kind") == "paired_model_comparison")
-    total = F.aggregate("artifacts", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["size_bytes"].try_cast("long"), F.lit(0)))
-    split_tier = F.when(c("requested_split") == "train", "train_only").when(c("requested_split") == "validation", "validation").when(c("requested_split") == "test", "sealed_test")
-    differs = lambda a, b: c(b).isNotNull() & ~c(a).eqNullSafe(c(b))
-    failures = F.filter(F.transform("artifacts", artifact_failure), lambda x: x.isNotNull())
-    checks = [
-        (~c("exists"), "MANIFEST_NOT_FOUND"),
-        (c("reads") >= F.coalesce(c("max_reads"), F.lit(1)), "EVIDENCE_MANIFEST_READ_BUDGET_EXCEEDED"),
-        (~c("parsed"), "MANIFEST_PARSE_FAILED"),
-        (~c("is_mapping"), "MANIFEST_TYPE_INVALID"),
-        (F.size("missing_fields") > 0, "MANIFEST_FIELDS_MISSING"),
-        (c("schema_version") != "1.0", "MANIFEST_SCHEMA_VERSION_UNSUPPORTED"),
-        ((c("status") != "complete") | ~c("execution_authorized"), "EVIDENCE_RUN_NOT_COMPLETE_OR_AUTHORIZED"),
-        (holds(c("placeholder")) | holds(c("synthetic")), "PLACEHOLDER_EVIDENCE_FORBIDDEN"),
-        (tier_rank(c("tier")).isNull(), "EVIDENCE_TIER_INVALID"),
-        (~c("claim_eligible"), "CLAIM_ELIGIBILITY_FALSE"),
-        (~F.forall(F.map_values("provenance"), is_digest), "PROVENANCE_HASH_INVALID"),
-        ((F.size(hashes) == 0) | ~F.forall(hashes, lambda k: is_digest(F.try_element_at(c("expected"), k))) | ~is_digest(c("expected_target")), "EVIDENCE_EXPECTATIONS_NOT_FROZEN"),
-        (~F.forall(hashes, lambda k: F.try_element_at(c("expected"), k).eqNullSafe(F.try_element_at(c("provenance"), k))), "PROVENANCE_HASH_MISMATCH"),
-        (~c("kind").eqNullSafe(c("requested_kind")), "EVIDENCE_KIND_SCOPE_MISMATCH"),
-        (c("models").isNull() | F.exists("models", lambda x: x.isNull()), "MODEL_SET_INVALID"),
-        (F.size(F.array_except("required_models", "models")) > 0, "MODEL_SET_SCOPE_MISMATCH"),
-        (differs("task", "requested_task") | differs("split", "requested_split"), "EVIDENCE_SCOPE_MISMATCH"),
-        (~c("dataset").eqNullSafe(c("requested_dataset")), "EVIDENCE_DATASET_MISMATCH"),
-        (split_tier.isNotNull() & ~c("tier").eqNullSafe(split_tier), "EVIDENCE_TIER_SCOPE_MISMATCH"),
-        (paired & ~is_digest(c("target")), "TARGET_MANIFEST_HASH_INVALID"),
-        (paired & ~c("target").eqNullSafe(c("expected_target")), "TARGET_MANIFEST_HASH_MISMATCH"),
-        (paired & (c("n_metrics") == 0), "METRIC_SET_EMPTY"),
-        (F.size("artifacts") <= 0, "ARTIFACT_SET_EMPTY"),
-        (F.size("artifacts") > F.coalesce(c("max_artifacts"), F.lit(64)), "EVIDENCE_ARTIFACT_BUDGET_EXCEEDED"),
-        (F.exists("artifacts", lambda a: a["size_bytes"].isNotNull() & a["size_bytes"].try_cast("long").isNull()), "ARTIFACT_SCHEMA_INVALID"),
-        (total > F.coalesce(c("max_bytes"), F.lit(21_474_836_480)), "EVIDENCE_ARTIFACT_BUDGET_EXCEEDED"),
-        (~c("json_values"), "MANIFEST_JSON_VALUE_INVALID"),
-    ]
-    return m.withColumn("reason", F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(r)) for bad, r in checks], F.get(failures, F.lit(0)), F.lit("EVIDENCE_VERIFIED")))

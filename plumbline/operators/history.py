@@ -31,11 +31,12 @@ def recent_rate(feedback: DataFrame, last: int = 10) -> DataFrame:
 
 
 def last_sequence(feedback: DataFrame, value: str, last: int = 5) -> DataFrame:
-    """(event_id, items): the last values strictly before, oldest first."""
-    before = Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    rows = F.array_sort(F.collect_list(F.struct("t", "event_id", value)).over(before))
-    start = F.greatest(F.size(rows) - last, F.lit(0)) + 1
-    return feedback.select("event_id", F.transform(F.slice(rows, start, last), lambda r: r[value]).alias("items"))
+    """(event_id, items): the last values strictly before, oldest first. A row holds `last` items, whatever its history."""
+    order = Window.partitionBy("user_id").orderBy("t", "event_id")
+    ties = Window.partitionBy("user_id", "t").orderBy("event_id")
+    held = F.collect_list(F.struct(F.col(value).alias("v"))).over(order.rowsBetween(-last, -1))
+    f = feedback.withColumn("_held", held).withColumn("_held", F.first("_held").over(ties))  # of tied rows all see what the first does
+    return f.select("event_id", F.transform("_held", lambda r: r["v"]).alias("items"))
 
 
 def time_gaps(feedback: DataFrame) -> DataFrame:
@@ -63,3 +64,12 @@ def scored(feedback: DataFrame) -> DataFrame:
         F.struct(F.lit("blend").alias("model"), (0.5 * rate + 0.5 * recent).alias("score")),
     )
     return f.select("event_id", "user_id", "day", "y", F.inline(models))
+
+
+def static_intrinsic(items: DataFrame, category: str, number: str, cuts: list[float], tags: str) -> DataFrame:
+    """items with `category`, `state` (how many of the cuts a number reaches; null for null) and `tokens` (distinct lower-case words of the tags, sorted)."""
+    state = F.lit(0)
+    for cut in cuts:
+        state = state + F.when(F.col(number) >= cut, 1).when(F.col(number).isNotNull(), 0)
+    words = F.array_sort(F.array_distinct(F.array_remove(F.split(F.lower(tags), " "), "")))
+    return items.withColumns({"category": F.col(category), "state": state.cast("int"), "tokens": words})

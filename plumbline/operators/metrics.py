@@ -2,7 +2,8 @@
 
 Rows are first summed by score, so that ties are groups and weights cost nothing. Running totals over
 scores are taken within score buckets, to which the totals of the buckets above are added: no window
-holds all scores of a group.
+holds all scores of a group. Buckets follow the scores' log odds, so that rare events, whose scores all
+lie near 0, are spread as well.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+#: Buckets for each unit of log odds; with CLIP there are about 2200.
+BUCKETS = 32
 CLIP = 1e-15
 
 
@@ -22,7 +24,8 @@ def score_groups(rows: DataFrame, keys: list[str], weight: str | None = None) ->
 
 def ranking(groups: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, average_precision, roc_auc); null where a class is missing."""
-    g = groups.withColumn("_b", F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)))
+    clipped = F.least(F.greatest(F.col("score"), F.lit(CLIP)), F.lit(1 - CLIP))
+    g = groups.withColumn("_b", F.floor(F.ln(clipped / (1 - clipped)) * BUCKETS))  # grows with the score, as ln does
     buckets = g.groupBy(*keys, "_b").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
     above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -53,24 +56,46 @@ def calibration(groups: DataFrame, keys: list[str], bins: int = 20) -> DataFrame
     )
 
 
-def user_auc(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """(keys, user_id, n, p, auc) of users with both classes."""
-    g = score_groups(rows, [*keys, "user_id"], weight)
-    by = Window.partitionBy(*keys, "user_id")
-    lower = by.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+def user_groups(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, user_id, score, n, p): rows and positives of each user's scores; the other sums follow from these."""
+    return score_groups(rows, [*keys, "user_id"], weight)
+
+
+def user_totals(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, user_id, n, p, auc), a null auc for users of one class. groups: user_groups."""
+    lower = Window.partitionBy(*keys, "user_id").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     own = F.col("n") - F.col("p")
-    g = g.withColumns({"below": F.coalesce(F.sum(own).over(lower), F.lit(0))})
+    g = groups.withColumn("below", F.coalesce(F.sum(own).over(lower), F.lit(0)))
     u = g.groupBy(*keys, "user_id").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * (F.col("below") + own / 2)).alias("won"))
-    return u.where("p > 0 and p < n").withColumn("auc", F.col("won") / (F.col("p") * (F.col("n") - F.col("p")))).drop("won")
+    return u.withColumn("auc", F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("won") / (F.col("p") * (F.col("n") - F.col("p"))))).drop("won")
+
+
+def user_auc(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, user_id, n, p, auc) of users with both classes."""
+    return user_totals(user_groups(rows, keys, weight), keys).where("auc is not null")
+
+
+def _gauc(users: DataFrame, keys: list[str]) -> DataFrame:
+    has = F.col("auc").isNotNull()
+    n = F.sum(F.when(has, F.col("n")))
+    return users.groupBy(*keys).agg(
+        (F.sum(F.col("auc") * F.col("n")) / n).alias("gauc_events"), F.avg("auc").alias("gauc_users"), F.count_if(has).alias("eligible_users"), F.coalesce(n, F.lit(0)).alias("eligible_rows"), F.count("*").alias("users")
+    )
 
 
 def user_gauc(rows: DataFrame, keys: list[str]) -> DataFrame:
-    u = user_auc(rows, keys).groupBy(*keys)
-    return u.agg((F.sum(F.col("auc") * F.col("n")) / F.sum("n")).alias("gauc_events"), F.avg("auc").alias("gauc_users"), F.count("*").alias("eligible_users"), F.sum("n").alias("eligible_rows"))
+    return _gauc(user_auc(rows, keys), keys).drop("users")
 
 
 def all_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    g = score_groups(rows, keys)
-    users = rows.groupBy(*keys).agg(F.countDistinct("user_id").alias("users"))
-    out = calibration(g, keys).join(ranking(g, keys), keys).join(user_gauc(rows, keys), keys, "left").join(users, keys)
+    """Everything of each keys, from one sum by user and score, which the plan computes once."""
+    by_user = user_groups(rows, keys)
+    g = by_user.groupBy(*keys, "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    out = calibration(g, keys).join(ranking(g, keys), keys).join(_gauc(user_totals(by_user, keys), keys), keys, "left")
     return out.withColumns({"eligible_user_fraction": F.col("eligible_users") / F.col("users"), "eligible_row_fraction": F.col("eligible_rows") / F.col("rows")})
+
+
+def with_baseline(m: DataFrame, keys: list[str], model: str, names: list[str]) -> DataFrame:
+    """m with the baseline model's values of the same keys on every model's row."""
+    base = m.where(F.col("model") == model).select(*keys, *[F.col(n).alias(f"{model}_{n}") for n in names])
+    return m.join(base, keys, "left")

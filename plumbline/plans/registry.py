@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit, compare, governance, history, metrics
-from plumbline.sources.tables import call_log, feedback, table
+from plumbline.operators import audit, compare, evidence, governance, history, metrics
+from plumbline.sources.tables import feedback, table
 from plumbline.streaming import events as streams
 
 ROUND = 9
@@ -61,8 +61,8 @@ uc as (select *, coalesce(sum(n - p) over (partition by {keys}, user_id order by
 ua as (select {keys}, user_id, sum(n) as n, sum(p) as p, sum(p * (below + (n - p) / 2.0)) / nullif(sum(p) * (sum(n) - sum(p)), 0) as auc from uc group by all),
 gu as (select {keys}, sum(n * auc) / sum(n) as gauc_events, avg(auc) as gauc_users, count(*) as eligible_users, cast(sum(n) as bigint) as eligible_rows from ua where p > 0 and p < n group by all),
 us as (select {keys}, count(distinct user_id) as users from s group by all),
-m as (select {keys}, rows, positives, prevalence, average_precision, roc_auc, log_loss, brier, ece20, gauc_events, gauc_users, eligible_users, eligible_rows, users,
-             eligible_users::double / users as eligible_user_fraction, eligible_rows::double / rows as eligible_row_fraction
+m as (select {keys}, rows, positives, prevalence, average_precision, roc_auc, log_loss, brier, ece20, gauc_events, gauc_users, coalesce(eligible_users, 0) as eligible_users, coalesce(eligible_rows, 0) as eligible_rows, users,
+             coalesce(eligible_users, 0)::double / users as eligible_user_fraction, coalesce(eligible_rows, 0)::double / rows as eligible_row_fraction
       from cal join rk using ({keys}) left join gu using ({keys}) join us using ({keys}))"""
 
 
@@ -151,6 +151,28 @@ def day_direction(spark, d):
     return c.agg(F.count("*").alias("days"), F.count_if(F.col("log_loss") < -1e-12).alias("log_loss_better"), F.count_if(F.col("brier") < -1e-12).alias("brier_better"))
 
 
+@query(f"{metric_sql('model, day')} select model, cast(day as varchar) as day, round(max(log_loss) filter (where model = 'prior') over (partition by day), 9) as prior_log_loss, round(max(brier) filter (where model = 'prior') over (partition by day), 9) as prior_brier from m")
+def daily_baseline(spark, d):
+    """Each model's daily row with the baseline's values of the day."""
+    m = metrics.calibration(metrics.score_groups(_scored(spark, d), ["model", "day"]), ["model", "day"])
+    m = metrics.with_baseline(m, ["day"], "prior", ["log_loss", "brier"])
+    return rounded(m, "prior_log_loss", "prior_brier").select("model", F.col("day").cast("string").alias("day"), "prior_log_loss", "prior_brier")
+
+
+@query(f"with {SCORED}, a as (select event_id, y, score from s where model = 'blend'), b as (select event_id, score from s where model = 'rate') select event_id, a.y, round(a.score, 9) as score_a, round(b.score, 9) as score_b from a join b using (event_id)")
+def paired_predictions(spark, d):
+    rows = _scored(spark, d).select("model", "event_id", "y", "score")
+    of = lambda m: rows.where(F.col("model") == m).drop("model")
+    return rounded(evidence.paired_predictions(of("blend"), of("rate"), ["event_id"]), "score_a", "score_b").select("event_id", "y", "score_a", "score_b")
+
+
+@query("select p_partkey, p_brand as category, cast((p_size >= 10)::int + (p_size >= 25)::int + (p_size >= 40)::int as integer) as state, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(p_type), ' '), lambda x: x <> ''))), ' ') as tokens from part")
+def static_features(spark, d):
+    """The intrinsic family: a category, a state of a number, and tags."""
+    f = history.static_intrinsic(table(spark, d, "part"), "p_brand", "p_size", [10, 25, 40], "p_type")
+    return f.select("p_partkey", "category", "state", F.array_join("tokens", " ").alias("tokens"))
+
+
 REPLICATES = 50
 DRAWS = f"""us as (select user_id, row_number() over (order by user_id) - 1 as r, count(*) over () as n from (select distinct user_id from f where user_id is not null)),
 dr as (select b as replicate, cast(concat('0x', substr(md5(concat('plumb:', b, ':', t)), 1, 8)) as bigint) % (select max(n) from us) as r from range({REPLICATES}) x(b), range((select max(n) from us)) y(t)),
@@ -185,7 +207,7 @@ def gate_verdict(spark, d):
     return compare.gate(ci, {"log_loss": 0.01, "brier": 0.0001, "user_gauc": 0.0})
 
 
-#: The reference's number, for all its metrics.
+#: The usual number, for all metrics.
 WHOLE_REPLICATES = 2000
 WHOLE_BOOT = f"""{SCORED}, {DRAWS.replace(f"range({REPLICATES})", f"range({WHOLE_REPLICATES})")},
 bg as (select model, user_id, score, count(*) as n, sum(y) as p from s where model in ('blend', 'rate') group by all),
@@ -241,180 +263,11 @@ def inventory_diff(spark, d):
     return audit.inventory_diff(listed, files)
 
 
-PAYLOAD = "concat(event_id, ':', event_type)"
-CHAIN = f"""with recursive o as (select user_id as run, row_number() over (partition by user_id order by ts, event_id) as seq, {PAYLOAD} as payload from events),
-c as (select run, seq, payload, repeat('0', 64) as previous, sha256(concat(repeat('0', 64), payload)) as digest from o where seq = 1
-      union all select o.run, o.seq, o.payload, c.digest, sha256(concat(c.digest, o.payload)) from c join o on o.run = c.run and o.seq = c.seq + 1)"""
-
-
-def _payloads(spark, d):
-    return call_log(spark, d).select("run", "seq", F.concat("event_id", F.lit(":"), "event_type").alias("payload"))
-
-
-@query(f"{CHAIN} select run, max(seq) as n, arg_max(digest, seq) as head from c group by 1")
-def chain_build(spark, d):
-    return audit.chain_heads(_payloads(spark, d))
-
-
-@query("""with o as (select user_id as run, row_number() over (partition by user_id order by ts, event_id) as line, concat(event_id, ':', event_type) as payload, event_id from events),
-w as (select *, sha256(concat(line, payload)) as link from o),
-l as (select *, lag(link, 1, repeat('0', 64)) over (partition by run order by line) as before from w),
-v as (select run, line, case when event_id % 331 = 0 then 'chain' else 'hash' end as failure from l)
-select run, arg_min(line, line) as line, arg_min(failure, line) as failure from v group by 1""")
-def chain_verify(spark, d):
-    """Logs whose digests aren't of their content: each run fails at its first line, by link or by hash."""
-    rows = _payloads(spark, d).withColumnRenamed("seq", "line")
-    by = Window.partitionBy("run").orderBy("line")
-    log = rows.withColumn("digest", F.sha2(F.concat("line", "payload").cast("binary"), 256)).withColumn("previous", F.lag("digest", 1, audit.ZEROS).over(by))
-    broken = F.split("payload", ":")[0].cast("long") % 331 == 0
-    return audit.verify_chain(log.withColumn("previous", F.when(broken, "f" * 64).otherwise(F.col("previous"))))
-
-
-@query("""select event_id, case when event_id % 97 = 0 then 'UNKNOWN_AGENT' when event_id % 13 = 1 or event_id % 17 = 2 then 'ROLE_NOT_AUTHORIZED' when event_id % 19 = 3 then 'SIDE_EFFECT_NOT_AUTHORIZED'
- when event_type = 'error' and event_id % 2 = 0 then 'SEALED_ACCESS_DENIED' when event_id % 5 < 2 and event_type = 'purchase' then 'EVIDENCE_TIER_TOO_LOW'
- when event_type = 'purchase' and event_id % 7 = 0 then 'APPROVAL_ADAPTER_DISABLED' when event_type = 'purchase' and event_id % 11 = 0 then 'PUBLISH_STATE_INVALID' when event_type = 'purchase' and event_id % 23 = 0 then 'RELEASE_READINESS_NOT_MET'
- when event_type = 'purchase' and event_id % 29 = 0 then 'APPROVAL_REQUIRED' when event_type = 'purchase' and event_id % 31 = 0 then 'APPROVAL_NOT_REGISTERED' when event_type = 'purchase' and event_id % 37 = 0 then 'APPROVAL_INVALID'
- when event_type = 'purchase' and event_id % 41 = 0 then 'APPROVAL_CONTRACT_MISMATCH' when event_type = 'purchase' and event_id % 43 = 0 then 'APPROVAL_SUBJECT_MISMATCH' else 'AUTHORIZED' end as reason from events""")
-def authorize(spark, d):
-    c = call_log(spark, d)
-    e = F.col("event_id")
-    publish = F.col("side_effect") == "publish"
-    calls = c.withColumns(
-        {
-            "identity_known": e % 97 != 0, "role_allowed": e % 13 != 1, "skill_allowed": e % 17 != 2, "effect_allowed": e % 19 != 3, "sealed_on": e % 2 != 0,
-            "tier": F.element_at(F.array(*[F.lit(t) for t in governance.TIERS]), (e % 5 + 1).cast("int")), "minimum_tier": F.when(publish, "train_only").otherwise("none"),
-            "adapter_on": e % 7 != 0, "phase": F.when(e % 11 != 0, "waiting_for_approval"), "ready": e % 23 != 0, "approval_action": F.when(publish, "publish"),
-            "token_present": e % 29 != 0, "token_registered": e % 31 != 0, "token_status": F.when(e % 37 != 0, "approved"), "token_action": F.lit("publish"),
-            "token_contract": F.when(e % 41 == 0, "other").otherwise("same"), "contract": F.lit("same"), "token_subject": F.lit("s"), "subject": F.when(e % 43 == 0, "").otherwise("s"),
-        }
-    )
-    return governance.authorize(calls).select("event_id", "reason")
-
-
-@query("""with recursive o as (select user_id as run, row_number() over (partition by user_id order by ts, event_id) as seq, event_id, event_type from events),
-c as (select run, cast(0 as bigint) as seq, cast(null as bigint) as event_id, '' as verdict, 0 as st, 0 as wr, 0 as se, 0 as pu from (select distinct run from o)
- union all select run, seq, event_id, v, st + ok, wr + ok * w, se + ok * s, pu + ok * p from (
-  select *, cast(v = 'allowed' as integer) as ok from (
-   select o.run, o.seq, o.event_id, c.st, c.wr, c.se, c.pu, cast(o.event_type in ('click', 'purchase') as integer) as w, cast(o.event_type = 'error' as integer) as s, cast(o.event_type = 'purchase' as integer) as p,
-    case when st >= 40 then 'max_steps' when st >= 35 then 'max_skill_calls' when o.event_type in ('click', 'purchase') and wr >= 16 then 'max_write_calls' when o.event_type = 'error' and se >= 5 then 'max_sealed_reads' when o.event_type = 'purchase' and pu >= 6 then 'max_publish_calls' else 'allowed' end as v
-   from c join o on o.run = c.run and o.seq = c.seq + 1)))
-select event_id, verdict from c where seq > 0""")
-def budget_fold(spark, d):
-    return governance.budget(call_log(spark, d), 40, 35, 16, 5, 6).select("event_id", "verdict")
-
-
-@query("""with o as (select user_id as run, event_id, event_id % 7 as key, event_type as fp, row_number() over (partition by user_id order by ts, event_id) as seq from events),
-x as (select *, first_value(fp) over w as f, row_number() over w as r from o window w as (partition by run, key order by seq))
-select event_id, case when r = 1 then 'executed' when f = fp then 'cached' else 'IDEMPOTENCY_KEY_CONFLICT' end as outcome from x""")
-def idempotency(spark, d):
-    calls = call_log(spark, d).withColumns({"key": F.col("event_id") % 7, "fingerprint": F.col("event_type")})
-    return governance.idempotency(calls).select("event_id", "outcome")
-
-
-_PHASES = [*governance.PHASES, *governance.TERMINAL]
-_EDGES = [*zip(governance.PHASES, governance.PHASES[1:], strict=False), ("claims_reviewed", "waiting_for_evidence"), ("claims_reviewed", "waiting_for_approval"), ("waiting_for_approval", "released"), ("released", "rolled_back"), *[(p, t) for p in governance.PHASES for t in ("blocked", "failed")]]
-
-
-@query(f"""with p as (select * from (values {', '.join(f"({k}, '{p}')" for k, p in enumerate(_PHASES))}) x(i, phase)), e as (select * from (values {', '.join(f"('{a}', '{b}')" for a, b in _EDGES)}) x(a, b)),
-o as (select event_id, user_id as run, phase as to_phase, lag(phase, 1, 'created') over (partition by user_id order by ts, event_id) as from_phase from events join p on i = event_id % 12)
-select event_id, from_phase, to_phase, exists (select 1 from e where a = from_phase and b = to_phase) as valid from o""")
-def phase_transitions(spark, d):
-    phase = F.element_at(F.array(*[F.lit(p) for p in _PHASES]), (F.col("event_id") % 12 + 1).cast("int"))
-    return governance.transitions(call_log(spark, d).withColumn("to_phase", phase)).select("event_id", "from_phase", "to_phase", "valid")
-
-
-@query("""with recursive l as (select 1 as task, 0 as level union all select task + 1, level + 1 from l where task < 8) select concat('T0', task) as task, level from l""")
-def dag_levels(spark, d):
-    """Levels of the workflow's eight tasks, each of which waits for the one before."""
-    return spark.sql("""with recursive dep as (select id as task, id - 1 as needs from range(1, 9)),
-l as (select task, 0 as level from dep where needs = 0 union all select dep.task, l.level + 1 from dep join l on dep.needs = l.task) select concat('T0', task) as task, max(level) as level from l group by task""")
-
-
-@query("""with o as (select user_id as run, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as seq from events)
-select o.event_id, not exists (select 1 from (values (1), (2)) k(b) where o.seq > k.b and not exists (select 1 from o q where q.run = o.run and q.seq = o.seq - k.b and q.event_type <> 'error')) as satisfied from o""")
-def dependency_check(spark, d):
-    """Each call needs the two before it to have ended without error."""
-    c = call_log(spark, d)
-    needs = F.array_compact(F.array(*[F.when(F.col("seq") > k, F.col("seq") - k) for k in (1, 2)]))
-    tasks = c.select("run", F.col("seq").alias("task"), "seq", needs.alias("depends_on"))
-    results = c.select("run", F.col("seq").alias("task"), "seq", F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"))
-    found = governance.dependencies(tasks, results)
-    return found.join(c.select("run", "seq", "event_id"), ["run", "seq"]).select("event_id", "satisfied")
-
-
-TIER = "['none', 'system', 'train_only', 'validation', 'sealed_test']"
-TIERED = f"x as (select user_id as run, {TIER}[1 + coalesce(max(event_id % 5) filter (where event_type = 'signup' and event_id % 3 = 0), 0)] as tier, coalesce(max(event_id % 5) filter (where event_type = 'signup' and event_id % 3 = 0), 0) as rank from events group by 1)"
-
-
-def _tiers(spark, d):
-    tier = F.element_at(F.array(*[F.lit(t) for t in governance.TIERS]), (F.col("event_id") % 5 + 1).cast("int"))
-    evidence = call_log(spark, d).select("run", tier.alias("tier"), ((F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0)).alias("claim_eligible"))
-    return governance.highest_tier(evidence, ["run"])
-
-
-@query(f"with {TIERED} select run, tier from x")
-def highest_tier(spark, d):
-    return _tiers(spark, d)
-
-
-@query(f"with {TIERED} select run, tier, cast(case when rank < 2 then 3 when rank = 2 then 2 else 0 end as integer) as missing, cast(5 as integer) as forbidden from x")
-def claim_review(spark, d):
-    return governance.claims(_tiers(spark, d))
-
-
-@query(f"with {TIERED} select run, rank >= 3 and run % 3 <> 0 and run % 4 <> 0 as ready from x")
-def readiness(spark, d):
-    gates = F.array(F.lit("ranking"), F.lit("calibration"))
-    runs = _tiers(spark, d).withColumns(
-        {
-            "evidence_id": F.lit("e"), "verdict_evidence_id": F.when(F.col("run") % 3 != 0, "e"), "frozen_gates": gates, "verdict_gates": F.reverse(gates),
-            "verdicts": F.array(F.lit("pass"), F.when(F.col("run") % 4 == 0, "fail").otherwise("pass")),
-        }
-    )
-    return governance.readiness(runs, "validation").select("run", "ready")
-
-
-MANIFEST_REASONS = (
-    "MANIFEST_NOT_FOUND", "EVIDENCE_MANIFEST_READ_BUDGET_EXCEEDED", "MANIFEST_PARSE_FAILED", "MANIFEST_TYPE_INVALID", "MANIFEST_FIELDS_MISSING", "MANIFEST_SCHEMA_VERSION_UNSUPPORTED",
-    "EVIDENCE_RUN_NOT_COMPLETE_OR_AUTHORIZED", "PLACEHOLDER_EVIDENCE_FORBIDDEN", "EVIDENCE_TIER_INVALID", "CLAIM_ELIGIBILITY_FALSE", "PROVENANCE_HASH_INVALID", "EVIDENCE_EXPECTATIONS_NOT_FROZEN",
-    "PROVENANCE_HASH_MISMATCH", "EVIDENCE_KIND_SCOPE_MISMATCH", "MODEL_SET_INVALID", "MODEL_SET_SCOPE_MISMATCH", "EVIDENCE_SCOPE_MISMATCH", "EVIDENCE_DATASET_MISMATCH", "EVIDENCE_TIER_SCOPE_MISMATCH",
-    "TARGET_MANIFEST_HASH_INVALID", "TARGET_MANIFEST_HASH_MISMATCH", "METRIC_SET_EMPTY", "ARTIFACT_SET_EMPTY", "EVIDENCE_ARTIFACT_BUDGET_EXCEEDED", "ARTIFACT_SCHEMA_INVALID",
-    "EVIDENCE_ARTIFACT_BUDGET_EXCEEDED", "MANIFEST_JSON_VALUE_INVALID", "ARTIFACT_SCHEMA_INVALID", "ARTIFACT_PATH_ESCAPE", "ARTIFACT_NOT_FOUND", "ARTIFACT_SIZE_MISMATCH", "ARTIFACT_HASH_MISMATCH",
-)
-
-
-def broken_manifests(rows: DataFrame, variant) -> DataFrame:
-    """rows as manifests, each with the one fault that its variant (0: none, else the check's number) names."""
-    v = variant
-    lit = F.lit
-    digest = lambda c: F.lit(c * 64)
-    bad = lambda k, wrong, good: F.when(v == k, wrong).otherwise(good)
-    strings = lambda *x: F.array(*[lit(a) for a in x]).cast("array<string>")
-    entry = F.struct(
-        bad(28, lit(None).cast("string"), bad(29, lit("../a.csv"), lit("a.csv"))).alias("path"), bad(25, lit("1x"), bad(26, lit("99999999999999"), lit("10"))).alias("size_bytes"), digest("a").alias("sha256"),
-        bad(30, lit(None).cast("long"), bad(31, lit(11), lit(10))).cast("long").alias("found_size"), bad(32, digest("b"), digest("a")).alias("found_sha256"),
-    )
-    return rows.withColumns(
-        {
-            "exists": v != 1, "reads": bad(2, lit(1), lit(0)), "max_reads": lit(1), "parsed": v != 3, "is_mapping": v != 4, "missing_fields": bad(5, strings("tier"), strings()), "schema_version": bad(6, lit("9.9"), lit("1.0")),
-            "status": bad(7, lit("running"), lit("complete")), "execution_authorized": lit(True), "placeholder": v == 8, "synthetic": lit(False), "tier": bad(9, lit("gold"), bad(19, lit("train_only"), lit("validation"))),
-            "claim_eligible": v != 10, "provenance": F.create_map(lit("code"), bad(11, lit("xyz"), bad(13, digest("2"), digest("1")))), "expected": F.create_map(lit("code"), bad(12, lit(None).cast("string"), digest("1"))), "expected_target": digest("3"),
-            "kind": bad(14, lit("other"), lit("paired_model_comparison")), "requested_kind": lit("paired_model_comparison"), "models": bad(15, lit(None).cast("array<string>"), bad(16, strings("A"), strings("A", "B"))), "required_models": strings("A", "B"),
-            "task": bad(17, lit("other"), lit("rank")), "requested_task": lit("rank"), "split": lit("validation"), "requested_split": lit("validation"), "dataset": bad(18, lit("other"), lit("d")), "requested_dataset": lit("d"),
-            "target": bad(20, lit("no"), bad(21, digest("4"), digest("3"))), "n_metrics": bad(22, lit(0), lit(3)), "artifacts": F.when(v == 23, F.array().cast("array<struct<path:string,size_bytes:string,sha256:string,found_size:bigint,found_sha256:string>>")).when(v == 24, F.array_repeat(entry, 65)).otherwise(F.array(entry)),
-            "max_artifacts": lit(64), "max_bytes": lit(21_474_836_480), "json_values": v != 27,
-        }
-    )
-
-
-@query(f"select doc_id, case when doc_id % 33 = 0 then 'EVIDENCE_VERIFIED' else [{', '.join(repr(r) for r in MANIFEST_REASONS)}][doc_id % 33] end as reason from documents")
-def manifest_checks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    return governance.verify_manifests(broken_manifests(docs, F.col("doc_id") % 33)).select("doc_id", "reason")
-
-
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by all")
 def windowed_counts(spark, d):
     """The streaming operator as a batch; tests run it as a stream."""
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return streams.windowed_counts(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from plumbline.plans import governed  # noqa: E402, F401  adds its queries to QUERIES
