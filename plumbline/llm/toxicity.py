@@ -40,7 +40,7 @@ class Ftrl:
     l1: float = 4.0
     l2: float = 1.0
     #: Passes over the rows, whatever their number.
-    passes: int = 3
+    passes: int = 5
     bits: int = BITS
     #: Where the bias starts.
     start: float = UNTAUGHT

@@ -286,7 +286,7 @@ def test_labels_without_documents_take_no_place(spark):
 def test_feature_rows_do_not_reach_over_texts():
     alone = [toxicity.feature_rows(*utf8_view(pa.array([t])))[0].tolist() for t in ("a b c", "", "d", "A  B c")]
     together = [r.tolist() for r in toxicity.feature_rows(*utf8_view(pa.array(["a b c", "", "d", "A  B c"])))]
-    assert alone == together and alone[0] == alone[3] and len(alone[0]) == 6
+    assert alone == together and alone[0] == alone[3] and len(alone[0]) == 6  # three words, two pairs, one skip
 
 
 def test_line_dedup_of_odd_tables(spark, odd):
@@ -394,11 +394,19 @@ def test_rare_tokens_meet_their_counts(spark, odd):
 def test_top_k_against_brute_force(spark, odd):
     vectors = topk.usable(spark.read.parquet(f"{odd}/embeddings.parquet"))
     rows = [(r.vec_id, tuple(r.v)) for r in vectors.collect()]
-    want = set()
+    want = []
     for q, v in {r for r in rows if r[0] % 50 == 0}:
-        best = sorted({(-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in rows if i != q})[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in queries.QUERIES["op9_exact_top_k"](spark, odd).collect()} == want
+        best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in rows if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in queries.QUERIES["op9_exact_top_k"](spark, odd).collect()) == sorted(want)
+
+
+def test_top_k_of_rows_that_repeat_and_of_long_vectors(spark):
+    v = spark.createDataFrame([(1, [3, 0]), (1, [3, 0]), (2, [1, 0]), (50, [1, 1])], "vec_id long, v array<long>")
+    got = topk.pivot_top_k(v, v.where("vec_id = 50"), 3).collect()
+    assert sorted(map(tuple, got)) == [(50, 1, 1, 3), (50, 2, 1, 3), (50, 3, 2, 1)]
+    with pytest.raises(ValueError):
+        topk.pivot_top_k(spark.createDataFrame([(1, [2**27])], "vec_id long, v array<long>"), v)
 
 
 def test_base_spans_against_plain_patterns():
