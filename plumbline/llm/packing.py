@@ -27,11 +27,7 @@ from plumbline.llm.common import kinds_of, map_texts, scratch, texts, unused
 CAPACITY = 2048
 #: Rows of one length are ranked in independent parts, each of about 1/RANKED of all rows, or this many where there are few.
 RANKED, LEAST_RANKED = 16_384, 256
-#: Words whose ids a worker remembers; the memory is emptied when full.
-CACHED_WORDS = 1_000_000
 
-_CUT_IN_DOUBT = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r"(?= \S)")
 #: How byte-level BPE splits text before merging (fixed value).
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PROBE = ("a", " The", " naïve", "don't", " 12ab,", "x\n\ny", " \u00a0z", "\t\t", " 日本語", " ---", "'re", " é́", "\U0001f600!")
@@ -55,28 +51,26 @@ def merges_by_id(path: str) -> bool:
     return len(ids) == longer and all(a < b for a, b in zip([-1, *ids], ids, strict=False))
 
 
-class WordCachedTokenizer:
-    """ids of whole texts, from the ids of their words.
+class Tokenizer:
+    """ids of whole texts, as the tokenizer of the file gives them.
 
-    A byte-level BPE never joins across a space that a non-space follows, so text is cut before each of
-    these, and the ids of a piece don't depend on its neighbours. Texts that hold a special token's
-    string are encoded whole. Words new to the cache go through a second encoder of the same vocabulary,
-    which has less overhead for short strings and merges by id, if the file's merges stand in the order of
-    their ids, make every longer token, and both encoders agree on a probe.
+    They come from a second encoder of the same vocabulary, which has less overhead and merges by id, if the
+    file's merges stand in the order of their ids, make every longer token, and both agree on a probe. Texts
+    that hold a special token's string, or which the second encoder can't take (white space of a million
+    characters), go through the first.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer as Reader
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Reader.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.encode_word = self._slow_word
-        if merges_by_id(path) and (fast := self._second_encoder()) and all(fast(w) == self._slow_word(w) for w in _PROBE):
-            self.encode_word = fast
+        self.fast = self._second_encoder() if merges_by_id(path) else None
+        if self.fast and any(array("I", self.fast(t)).tobytes() != self.slow(t) for t in _PROBE):
+            self.fast = None
 
-    def _slow_word(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+    def slow(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _second_encoder(self):
         import tiktoken
@@ -86,38 +80,26 @@ class WordCachedTokenizer:
         if not all(c in names for k in vocabulary for c in k):
             return None
         ranks = {bytes(names[c] for c in k): v for k, v in vocabulary.items()}
-        encode = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        return lambda word: array("I", encode(word)).tobytes()
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = []
-        for text in batch:
-            if any(s in text for s in self.special):
-                cut.append(text)
-            elif _CUT_IN_DOUBT.search(text):
-                cut.append(_CUT.split(text))
-            else:
-                # a text that begins with a space has an empty first piece
-                first, *rest = text.split(" ")
-                cut.append([first, *[f" {w}" for w in rest]])
-        known = self.known
-        new = set().union(*[p for p in cut if type(p) is list]) - known.keys()
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = set().union(*[p for p in cut if type(p) is list])
-        encode = self.encode_word
-        for word in new:
-            known[word] = encode(word)
-        return [b"".join([known[w] for w in p]) if type(p) is list else self._slow_word(p) for p in cut]
-
-
-_tokenizers: dict[str, WordCachedTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordCachedTokenizer:
+        return tiktoken.Encoding("whole", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.fast is None or any(s in text for s in self.special):
+            return self.slow(text)
+        try:
+            return array("I", self.fast(text)).tobytes()
+        except BaseException as e:  # the encoder's own failures aren't Exceptions
+            if type(e).__name__ != "PanicException":
+                raise
+            return self.slow(text)
+
+
+_tokenizers: dict[str, Tokenizer] = {}
+
+
+def _tokenizer(path: str) -> Tokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = WordCachedTokenizer(path)
+        _tokenizers[path] = Tokenizer(path)
     return _tokenizers[path]
 
 
@@ -138,8 +120,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             rows = []
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode(texts(part.column(1))), strict=True):
-                    ids += end
+                for doc_id, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
+                    ids = tokenizer.encode(text) + end
                     n = len(ids) // 4
                     start, piece = 0, 0
                     while start < n:

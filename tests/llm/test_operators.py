@@ -1,5 +1,6 @@
 """The text operators: against SQL, brute force, round trips and held-out rows, and on odd tables."""
 
+import array
 import collections
 import hashlib
 import math
@@ -114,14 +115,25 @@ def test_sequences_hold_the_ids(spark, odd):
     assert all(len(r.ids) == 4 * r.length for r in packing.sequences(packed).collect())
 
 
-def test_word_cache_equals_the_tokenizer():
-    fast = packing._tokenizer(queries.tokenizer_path())
-    assert fast.encode_word != fast._slow_word
+def test_ids_are_the_tokenizers():
+    t = packing.Tokenizer(queries.tokenizer_path())
+    assert t.fast is not None
     rng = random.Random(4)
-    parts = ["a", "B", " ", "  ", "\n", "'s", "\t", "é", "1", ".", "\x1c", "日", "<|endoftext|>", "\r\n", "'", " "]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(2000)]
-    for text, ids in zip(texts, fast.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == fast.tokenizer.encode(text, add_special_tokens=False).ids
+    parts = [" ", "  ", "\n", "\t", "word", "don't", "'s", "12", "é", "日本", "<|endoftext|>", "!?", "\u00a0", "\u2028", "\x00", "\U0001f600", "x" * 300]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert t.encode(text) == t.slow(text)
+    for low in [*range(0, 0x3400, 0x400), 0xF900, 0xFC00, 0x10000, 0x1F000, 0xE0000]:  # between letters, digits and spaces
+        text = "".join(f"a{chr(c)}1 {chr(c)}" for c in range(low, low + 0x400))
+        assert t.encode(text) == t.slow(text)
+
+
+def test_very_long_runs_are_encoded():
+    t = packing.Tokenizer(queries.tokenizer_path())
+    for unit in (" ", "\n", "a", "1", "."):
+        long = unit * 1_200_000 if unit.isspace() else unit * 50_000
+        ids = t.encode(f"x{long}y")
+        assert t.tokenizer.decode(list(array.array("I", ids))) == f"x{long}y"
 
 
 def test_chat_round_trip():

@@ -221,8 +221,8 @@ def test_pipeline_stages_against_brute_force(spark):
     want = [(doc, text) for doc, text in want if not brute_windows(text, items)[1]]
     clean = corpus_pipeline.uncontaminated(spark, distinct, SMALLEST)
     assert rows(clean) == want
-    tokenizer = packing.WordCachedTokenizer(queries.tokenizer_path())
-    lengths = {doc: len(tokenizer._slow_word(text)) // 4 + 1 for doc, text in want}
+    tokenizer = packing.Tokenizer(queries.tokenizer_path())
+    lengths = {doc: len(tokenizer.slow(text)) // 4 + 1 for doc, text in want}
     packed = corpus_pipeline.run(spark, SMALLEST).toPandas()
     assert packed.groupby("doc_id").length.sum().to_dict() == lengths
     assert packed.sequence_id.nunique() <= math.ceil(sum(lengths.values()) / packing.CAPACITY) * 1.02 + 1
