@@ -29,6 +29,8 @@ FAMILIES = {
 BITS = 13
 #: Labelled rows of each language that are learned from, at most: the first by a hash of the text; and of all languages.
 SAMPLE, SAMPLE_OF_ALL = 500, 10_000
+#: Languages that are learned, at most: the most frequent; and how many times the sample, about, is ranked.
+LANGUAGES, RANKED = 1000, 8
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += 32
@@ -130,13 +132,17 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, of_all: int = SAMPLE_OF_ALL) -> LanguageModel | None:
     """From rows with text, a letter and lang; None if there are none.
 
-    Learned from are at most `sample` texts of each language, the first by a hash, and of these at most
-    `of_all`, in turn from all languages. Rows of one text and language count once.
+    Learned from are at most `sample` texts of each of the LANGUAGES most frequent, the first by a hash, and of
+    these at most `of_all`, in turn from all languages. Rows of one text and language count once. Of a large
+    language only the texts of the smallest hashes, about RANKED times the sample, are ranked.
     """
     keyed = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     keyed = keyed.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("_h", F.xxhash64("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    chosen = keyed.select("lang", "_h").distinct().withColumn("_r", rank).where(F.col("_r") <= sample).orderBy("_r", "lang").limit(of_all)
+    sizes = F.broadcast(keyed.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES))
+    place = F.shiftrightunsigned(F.xxhash64("_h"), 11) / F.lit(2.0**53)  # of a text among all, 0 to 1
+    few = keyed.select("lang", "_h").join(sizes, "lang").where(place * F.col("_n") < RANKED * sample).select("lang", "_h").distinct()
+    chosen = few.withColumn("_r", rank).where(F.col("_r") <= sample).orderBy("_r", "lang").limit(of_all)
 
     def run(batches):
         for part in slices(batches):
