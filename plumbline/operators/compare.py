@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import metrics
+from plumbline.sources.shared import cut
 
-#: The metrics of a whole bootstrap.
-WHOLE = ("average_precision", "log_loss", "brier", "gauc_events", "gauc_users")
+#: The metrics of a bootstrap.
+METRICS = ("average_precision", "log_loss", "brier", "gauc_events", "gauc_users")
+#: Replicates that are columns of one row.
+WIDTH = 20
 
 
 def contrast(metrics: DataFrame, keys: list[str], a: str, b: str, names: list[str]) -> DataFrame:
@@ -44,40 +47,49 @@ def draws(users: DataFrame, replicates: int, seed: str) -> DataFrame:
     return picked.groupBy("replicate", "_r").agg(F.count("*").alias("times")).join(ranked, "_r").select("replicate", "user_id", "times")
 
 
-def user_sums(rows: DataFrame) -> DataFrame:
-    """(model, user_id, n, loss, square): what the additive metrics need of a user."""
-    s = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
-    loss = -F.when(F.col("y") == 1, F.ln(s)).otherwise(F.ln(1 - s))
-    return rows.groupBy("model", "user_id").agg(F.count("*").alias("n"), F.sum(loss).alias("loss"), F.sum((F.col("score") - F.col("y")) ** 2).alias("square"))
+def user_sums(groups: DataFrame) -> DataFrame:
+    """(model, user_id, n, loss, square): what the additive metrics need of a user. groups: metrics.score_groups by model and user."""
+    s = F.least(F.greatest(F.col("score"), F.lit(metrics.CLIP)), F.lit(1 - metrics.CLIP))
+    n, p = F.col("n"), F.col("p")
+    loss, square = -(p * F.ln(s) + (n - p) * F.ln(1 - s)), p * (F.col("score") - 1) ** 2 + (n - p) * F.col("score") ** 2
+    return groups.groupBy("model", "user_id").agg(F.sum("n").alias("n"), F.sum(loss).alias("loss"), F.sum(square).alias("square"))
 
 
-def bootstrap(rows: DataFrame, drawn: DataFrame, a: str, b: str) -> DataFrame:
-    """(metric, mean, se, low, high) of a less b over the replicates, the same draw for both models."""
-    sums = user_sums(rows).where(F.col("model").isin(a, b)).join(drawn, "user_id")
-    per = sums.groupBy("replicate", "model").agg(*[(F.sum(F.col("times") * F.col(c)) / F.sum(F.col("times") * F.col("n"))).alias(m) for c, m in (("loss", "log_loss"), ("square", "brier"))])
-    d = contrast(per, ["replicate"], a, b, ["log_loss", "brier"])
-    d = d.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("log_loss", "brier")])))
-    q = F.percentile("x", [0.025, 0.975])
-    return d.groupBy("metric").agg(F.count("*").alias("replicates"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("se"), q[0].alias("low"), q[1].alias("high"))
+def _replicated_precision(groups: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(replicate, model, average_precision). groups: metrics.score_groups by model and user.
+
+    A row has WIDTH replicates as columns, so a user's score meets the draws once for each WIDTH of them, and
+    sums by score are taken before the shuffle.
+    """
+    own = F.col("replicate") % WIDTH
+    times = [F.coalesce(F.sum(F.when(own == k, F.col("times"))).cast("double"), F.lit(0.0)).alias(f"t{k}") for k in range(WIDTH)]
+    wide = drawn.groupBy("user_id", F.floor(F.col("replicate") / WIDTH).alias("block")).agg(*times)
+    sums = [F.sum(F.col(f"t{k}") * F.col(c)).alias(f"{c}{k}") for k in range(WIDTH) for c in ("n", "p")]  # whole numbers, as doubles
+    groups = groups.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("n", "p")})
+    by_score = cut(groups.join(wide, "user_id").groupBy("model", "block", "score").agg(*sums))
+    ap = metrics.average_precisions(by_score, ["model", "block"], [(f"n{k}", f"p{k}") for k in range(WIDTH)])
+    each = F.array(*[F.struct((F.col("block") * WIDTH + k).alias("replicate"), F.col(f"p{k}").alias("average_precision")) for k in range(WIDTH)])
+    return ap.select("model", F.inline(each)).select("replicate", "model", "average_precision")
 
 
-def bootstrap_whole(rows: DataFrame, drawn: DataFrame, a: str, b: str) -> DataFrame:
-    """bootstrap's columns for all metrics of WHOLE; replicates counts those where both models have the metric.
+def bootstrap(rows: DataFrame, drawn: DataFrame, a: str, b: str) -> DataFrame:
+    """(metric, replicates, mean, se, low, high) of a less b, for all of METRICS, the same draw for both models.
 
-    A user's score groups and AUC are worked out once; a replicate weighs them by how often it drew the user.
+    replicates counts those where both models have the metric. A user's score groups and AUC are worked out
+    once; a replicate weighs them by how often it drew the user. What several metrics read is written to the
+    shared folder when this is called.
     """
     rows, keys = rows.where(F.col("model").isin(a, b)), ["replicate", "model"]
     times = F.col("times")
-    mean = lambda c, w: F.sum(times * w * F.col(c)) / F.sum(times * w)
-    groups = metrics.score_groups(rows, ["model", "user_id"]).join(drawn, "user_id")
-    groups = groups.groupBy(*keys, "score").agg(F.sum(times * F.col("n")).alias("n"), F.sum(times * F.col("p")).alias("p"))
-    ap = metrics.ranking(groups, keys).select(*keys, "average_precision")
-    sums = user_sums(rows).join(drawn, "user_id").groupBy(*keys)
-    additive = sums.agg(*[(F.sum(times * F.col(c)) / F.sum(times * F.col("n"))).alias(m) for c, m in (("loss", "log_loss"), ("square", "brier"))])
-    users = metrics.user_auc(rows, ["model"]).join(drawn, "user_id").groupBy(*keys)
-    gauc = users.agg(mean("auc", F.col("n")).alias("gauc_events"), mean("auc", F.lit(1)).alias("gauc_users"))
-    d = contrast(additive.join(ap, keys).join(gauc, keys, "left"), ["replicate"], a, b, list(WHOLE))
-    d = d.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in WHOLE])))
+    mean = lambda c, w: F.sum(times * w * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), times * w))
+    groups, drawn = cut(metrics.user_groups(rows, ["model"])), cut(drawn)
+    ap = _replicated_precision(groups, drawn)
+    users = user_sums(groups).join(metrics.user_totals(groups, ["model"]).select("model", "user_id", "auc"), ["model", "user_id"])
+    means = [(F.sum(times * F.col(c)) / F.sum(times * F.col("n"))).alias(m) for c, m in (("loss", "log_loss"), ("square", "brier"))]
+    means += [mean("auc", F.col("n")).alias("gauc_events"), mean("auc", F.lit(1)).alias("gauc_users")]
+    of = users.join(drawn, "user_id").groupBy(*keys).agg(*means)
+    d = contrast(of.join(ap, keys), ["replicate"], a, b, list(METRICS))
+    d = d.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])))
     q = F.percentile("x", [0.025, 0.975])
     return d.groupBy("metric").agg(F.count("x").alias("replicates"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("se"), q[0].alias("low"), q[1].alias("high"))
 
@@ -92,12 +104,3 @@ def release_gates(intervals: DataFrame, gates: list[tuple[str, str, str, float]]
     kind, low, high, margin = (F.col(c) for c in ("kind", "low", "high", "margin"))
     good = F.when(kind == "superiority", low > margin).when(kind == "at_least", low >= margin).when(kind == "at_most", high <= margin)
     return joined.select("gate", F.when(low.isNull() | high.isNull(), "missing").when(good, "pass").otherwise("fail").alias("verdict"))
-
-
-def gate(intervals: DataFrame, margins: dict[str, float]) -> DataFrame:
-    """(metric, verdict): pass if the interval's high end stays within the margin (lower is better); missing without one."""
-    spark = intervals.sparkSession
-    frozen = spark.createDataFrame(list(margins.items()), "metric string, margin double")
-    joined = F.broadcast(frozen).join(intervals, "metric", "left")
-    verdict = F.when(F.col("high").isNull(), "missing").when(F.col("high") <= F.col("margin"), "pass").otherwise("fail")
-    return joined.select("metric", verdict.alias("verdict"))

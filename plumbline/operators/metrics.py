@@ -8,7 +8,7 @@ lie near 0, are spread as well.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets for each unit of log odds; with CLIP there are about 2200.
@@ -22,10 +22,14 @@ def score_groups(rows: DataFrame, keys: list[str], weight: str | None = None) ->
     return rows.groupBy(*keys, "score").agg(F.sum(w).alias("n"), F.sum(w * F.col("y")).alias("p"))
 
 
+def _bucket() -> Column:
+    clipped = F.least(F.greatest(F.col("score"), F.lit(CLIP)), F.lit(1 - CLIP))
+    return F.floor(F.ln(clipped / (1 - clipped)) * BUCKETS)  # grows with the score, as ln does
+
+
 def ranking(groups: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, average_precision, roc_auc); null where a class is missing."""
-    clipped = F.least(F.greatest(F.col("score"), F.lit(CLIP)), F.lit(1 - CLIP))
-    g = groups.withColumn("_b", F.floor(F.ln(clipped / (1 - clipped)) * BUCKETS))  # grows with the score, as ln does
+    g = groups.withColumn("_b", _bucket())
     buckets = g.groupBy(*keys, "_b").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
     above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -42,6 +46,23 @@ def ranking(groups: DataFrame, keys: list[str]) -> DataFrame:
     return g.groupBy(*keys).agg(ap.alias("average_precision"), auc.alias("roc_auc"))
 
 
+def average_precisions(groups: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """(keys, p...): ranking's average precision under several weightings at once, each under the name of its p.
+
+    groups: (keys, score) and, for each of the pairs, weighted rows n and positives p.
+    """
+    names = [c for pair in pairs for c in pair]
+    g = groups.withColumn("_b", _bucket())
+    buckets = g.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in names])
+    above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    buckets = buckets.select(*keys, "_b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above_{c}") for c in names], *[F.sum(p).over(whole).alias(f"_all_{p}") for _, p in pairs])
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda c: F.sum(c).over(inside) + F.col(f"_above_{c}")
+    terms = [(F.try_divide(F.col(p), F.col(f"_all_{p}")) * F.try_divide(upto(p), upto(n))).alias(p) for n, p in pairs]
+    return g.join(buckets, [*keys, "_b"]).select(*keys, *terms).groupBy(*keys).agg(*[F.sum(p).alias(p) for _, p in pairs])
+
+
 def calibration(groups: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
     """(keys, rows, positives, prevalence, log_loss, brier, ece20): scores clipped for the logarithm; the last bin holds 1."""
     s = F.least(F.greatest(F.col("score"), F.lit(CLIP)), F.lit(1 - CLIP))

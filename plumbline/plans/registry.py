@@ -173,7 +173,8 @@ def static_features(spark, d):
     return f.select("p_partkey", "category", "state", F.array_join("tokens", " ").alias("tokens"))
 
 
-REPLICATES = 50
+#: The usual number.
+REPLICATES = 2000
 DRAWS = f"""us as (select user_id, row_number() over (order by user_id) - 1 as r, count(*) over () as n from (select distinct user_id from f where user_id is not null)),
 dr as (select b as replicate, cast(concat('0x', substr(md5(concat('plumb:', b, ':', t)), 1, 8)) as bigint) % (select max(n) from us) as r from range({REPLICATES}) x(b), range((select max(n) from us)) y(t)),
 dw as (select replicate, user_id, count(*) as times from dr join us using (r) group by all)"""
@@ -189,27 +190,6 @@ def bootstrap_draws(spark, d):
 
 
 BOOT = f"""{SCORED}, {DRAWS},
-su as (select model, user_id, count(*) as n, sum(case when y = 1 then -ln(score) else -ln(1 - score) end) as l, sum((score - y) ** 2) as q from s where model in ('blend', 'rate') group by all),
-pr as (select replicate, model, sum(times * l) / sum(times * n) as l, sum(times * q) / sum(times * n) as q from su join dw using (user_id) group by all),
-dd as (select replicate, max(l) filter (where model = 'blend') - max(l) filter (where model = 'rate') as l, max(q) filter (where model = 'blend') - max(q) filter (where model = 'rate') as q from pr group by 1),
-bx as (select 'log_loss' as metric, l as x from dd union all select 'brier', q from dd),
-ci as (select metric, count(*) as replicates, avg(x) as mean, stddev_samp(x) as se, quantile_cont(x, 0.025) as low, quantile_cont(x, 0.975) as high from bx group by 1)"""
-
-
-@query(f"with {BOOT} select metric, replicates, round(mean, 9) as mean, round(se, 9) as se, round(low, 9) as low, round(high, 9) as high from ci")
-def bootstrap_ci(spark, d):
-    return rounded(compare.bootstrap(_scored(spark, d), _draws(spark, d), "blend", "rate"), "mean", "se", "low", "high")
-
-
-@query(f"with {BOOT}, fz as (select * from (values ('log_loss', 0.01::double), ('brier', 0.0001::double), ('user_gauc', 0.0::double)) z(metric, margin)) select metric, case when high is null then 'missing' when high <= margin then 'pass' else 'fail' end as verdict from fz left join ci using (metric)")
-def gate_verdict(spark, d):
-    ci = compare.bootstrap(_scored(spark, d), _draws(spark, d), "blend", "rate")
-    return compare.gate(ci, {"log_loss": 0.01, "brier": 0.0001, "user_gauc": 0.0})
-
-
-#: The usual number, for all metrics.
-WHOLE_REPLICATES = 2000
-WHOLE_BOOT = f"""{SCORED}, {DRAWS.replace(f"range({REPLICATES})", f"range({WHOLE_REPLICATES})")},
 bg as (select model, user_id, score, count(*) as n, sum(y) as p from s where model in ('blend', 'rate') group by all),
 bs as (select model, user_id, sum(n) as n, sum(p) as p, sum(-p * ln(greatest(score, 1e-15)) - (n - p) * ln(1 - least(score, 1 - 1e-15))) as l, sum(p * (score - 1) ** 2 + (n - p) * score ** 2) as q from bg group by all),
 bp as (select replicate, model, sum(times * l) / sum(times * n) as log_loss, sum(times * q) / sum(times * n) as brier from bs join dw using (user_id) group by all),
@@ -220,25 +200,24 @@ bb as (select *, coalesce(sum(n - p) over (partition by model, user_id order by
 ba as (select model, user_id, sum(n) as n, sum(p) as p, sum(p * (below + (n - p) / 2.0)) / nullif(sum(p) * (sum(n) - sum(p)), 0) as auc from bb group by all),
 be as (select replicate, model, sum(times * n * auc) / sum(times * n) as gauc_events, sum(times * auc) / sum(times) as gauc_users from ba join dw using (user_id) where p > 0 and p < n group by all),
 bm as (select * from bp join br using (replicate, model) left join be using (replicate, model)),
-bx as ({" union all ".join(f"select '{m}' as metric, max({m}) filter (where model = 'blend') - max({m}) filter (where model = 'rate') as x from bm group by replicate" for m in compare.WHOLE)}),
+bx as ({" union all ".join(f"select '{m}' as metric, max({m}) filter (where model = 'blend') - max({m}) filter (where model = 'rate') as x from bm group by replicate" for m in compare.METRICS)}),
 ci as (select metric, count(x) as replicates, avg(x) as mean, stddev_samp(x) as se, quantile_cont(x, 0.025) as low, quantile_cont(x, 0.975) as high from bx group by 1)"""
 #: (gate, metric, kind, margin) of M16 beside leakage_audit; the margins are choices.
 GATES = [("ranking_superiority", "average_precision", "superiority", 0.0), ("user_gauc_noninferiority", "gauc_events", "at_least", 0.0), ("logloss_noninferiority", "log_loss", "at_most", 0.01), ("brier_noninferiority", "brier", "at_most", 0.0001)]
 
 
-def _whole_intervals(spark, d):
-    users = table(spark, d, "events").where("user_id is not null").select("user_id").distinct()
-    return compare.bootstrap_whole(_scored(spark, d), compare.draws(users, WHOLE_REPLICATES, "plumb"), "blend", "rate")
+def _intervals(spark, d):
+    return compare.bootstrap(_scored(spark, d), _draws(spark, d), "blend", "rate")
 
 
-@query(f"with {WHOLE_BOOT} select metric, replicates, round(mean, 9) as mean, round(se, 9) as se, round(low, 9) as low, round(high, 9) as high from ci")
-def bootstrap_ci_whole(spark, d):
-    return rounded(_whole_intervals(spark, d), "mean", "se", "low", "high")
+@query(f"with {BOOT} select metric, replicates, round(mean, 9) as mean, round(se, 9) as se, round(low, 9) as low, round(high, 9) as high from ci")
+def bootstrap_ci(spark, d):
+    return rounded(_intervals(spark, d), "mean", "se", "low", "high")
 
 
-@query(f"with {WHOLE_BOOT}, fz as (select * from (values {', '.join(f"('{g}', '{m}', '{k}', {x}::double)" for g, m, k, x in GATES)}) z(gate, metric, kind, margin)) select gate, case when low is null or high is null then 'missing' when case kind when 'superiority' then low > margin when 'at_least' then low >= margin else high <= margin end then 'pass' else 'fail' end as verdict from fz left join ci using (metric)")
-def gate_verdict_whole(spark, d):
-    return compare.release_gates(_whole_intervals(spark, d), GATES)
+@query(f"with {BOOT}, fz as (select * from (values {', '.join(f"('{g}', '{m}', '{k}', {x}::double)" for g, m, k, x in GATES)}) z(gate, metric, kind, margin)) select gate, case when low is null or high is null then 'missing' when case kind when 'superiority' then low > margin when 'at_least' then low >= margin else high <= margin end then 'pass' else 'fail' end as verdict from fz left join ci using (metric)")
+def gate_verdict(spark, d):
+    return compare.release_gates(_intervals(spark, d), GATES)
 
 
 @query("select distinct event_type as field from events where event_type in ('click', 'purchase')")

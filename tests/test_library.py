@@ -326,7 +326,7 @@ def test_bootstrap_is_the_same_however_it_is_dealt(spark):
     assert sorted(a.collect()) == sorted(b.collect()) and a.agg(F.sum("times")).first()[0] == 100
 
 
-def test_whole_bootstrap_against_repeated_rows(spark):
+def test_bootstrap_against_repeated_rows(spark):
     rng = random.Random(11)
     log = [(m, u, rng.choice([0.1, 0.4, 0.4, 0.8]), rng.randrange(2)) for m in ("a", "b") for u in range(6) for _ in range(8)]
     rows = spark.createDataFrame(log, "model string, user_id long, score double, y int")
@@ -334,17 +334,17 @@ def test_whole_bootstrap_against_repeated_rows(spark):
     # a drawn user's rows stand once for each time; a user drawn twice is two users
     times = rows.join(drawn, "user_id").withColumn("k", F.explode(F.sequence(F.lit(1), "times"))).withColumn("user_id", F.concat_ws("/", "user_id", "k"))
     m = {(r.replicate, r.model): r for r in metrics.all_metrics(times, ["replicate", "model"]).collect()}
-    got = {r.metric: r for r in compare.bootstrap_whole(rows, drawn, "a", "b").collect()}
-    assert {*got} == {*compare.WHOLE}
-    for name in compare.WHOLE:
+    got = {r.metric: r for r in compare.bootstrap(rows, drawn, "a", "b").collect()}
+    assert {*got} == {*compare.METRICS}
+    for name in compare.METRICS:
         x = [m[k, "a"][name] - m[k, "b"][name] for k in range(7)]
         assert got[name].replicates == 7 and got[name]["mean"] == pytest.approx(sum(x) / 7) and min(x) - 1e-9 <= got[name].low <= got[name].high <= max(x) + 1e-9
 
 
 def test_each_release_gate_has_an_interval(spark):
-    assert registry.WHOLE_REPLICATES == 2000
-    assert {r.gate: r.verdict for r in registry.gate_verdict_whole(spark, SMALLEST).collect()}.keys() == {g[0] for g in registry.GATES}
-    assert all(r.verdict != "missing" for r in registry.gate_verdict_whole(spark, SMALLEST).collect())
+    assert registry.REPLICATES == 2000
+    assert {r.gate: r.verdict for r in registry.gate_verdict(spark, SMALLEST).collect()}.keys() == {g[0] for g in registry.GATES}
+    assert all(r.verdict != "missing" for r in registry.gate_verdict(spark, SMALLEST).collect())
     assert {r.verdict for r in compare.release_gates(spark.createDataFrame([], "metric string, low double, high double"), registry.GATES).collect()} == {"missing"}
 
 
